@@ -85,16 +85,17 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequen
               weight: Column | None = None) -> DataFrame:
     """Rows ``metric, n, q``: exact quantiles of each value, interpolated between ranks.
 
-    A weight counts a row as that many rows. NULL values are left out; a metric without any value
-    has no row.
+    Values less than 1e-6 apart are not told apart. A weight counts a row as that many rows. NULL
+    values are left out; a metric without any value has no row.
     """
     cells = df.select(
         (weight if weight is not None else F.lit(1)).cast("bigint").alias("w"),
         F.inline(F.array(*[
-            F.struct(F.lit(name).alias("metric"), micro(value).alias("code"))
+            F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
             for name, value in values.items()
         ])),
-    ).where("code IS NOT NULL").groupBy("metric", "code").agg(F.sum("w").alias("w"))
+    ).where("value IS NOT NULL").groupBy("metric", micro(F.col("value")).alias("code")).agg(
+        F.sum("w").alias("w"), F.max("value").alias("value"))
     # One row per metric, and the metrics are named in the call: small for sure.
     totals = F.broadcast(cells.groupBy("metric").agg(F.sum("w").alias("n")))
     ranked = (
@@ -104,7 +105,7 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequen
 
     def value_at(rank: Column) -> Column:
         inside = (F.col("before_w") <= rank) & (rank < F.col("before_w") + F.col("w"))
-        return from_micro(F.max(F.when(inside, F.col("code"))))
+        return F.max(F.when(inside, F.col("value")))
 
     cuts = []
     for p in probabilities:

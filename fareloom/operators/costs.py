@@ -147,7 +147,7 @@ def cost_diff_summary(bookings: DataFrame, auctions: DataFrame, shifts: DataFram
         F.sum(F.col("copies").cast("decimal(20,0)")).alias("n"))
     x = from_micro(F.col("code"))
     centred = cells.withColumn("mean", cells.agg(
-        ratio(F.sum(F.col("code") * F.col("n")), F.sum("n")) / MICRO).scalar())
+        ratio(from_micro(F.sum(F.col("code") * F.col("n"))), F.sum("n"))).scalar())
     moments = centred.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count"),
         F.max("mean").alias("mean"),

@@ -238,8 +238,13 @@ BY_HOUR = "SELECT hour(booked_start_at) AS h, count(*) AS n FROM bookings GROUP
 COSTS = """
     SELECT *, hourly_rate_eur * (booked_duration / CAST({divisor} AS DOUBLE)) AS cost,
            price_dec * {divisor} - rate_dec * seconds_dec AS scaled_diff,
-           rate_dec * seconds_dec AS scaled_cost, price_dec * {divisor} AS scaled_price
-    FROM trip_costs"""
+           price_micro * {divisor} * 1000000 - rate_micro * seconds_micro AS diff_units,
+           rate_micro * seconds_micro AS cost_units,
+           price_micro * {divisor} * 1000000 AS price_units
+    FROM (SELECT *, CAST(CAST(price_dec AS DECIMAL(38,6)) * 1000000 AS HUGEINT) AS price_micro,
+                 CAST(CAST(rate_dec AS DECIMAL(38,6)) * 1000000 AS HUGEINT) AS rate_micro,
+                 CAST(CAST(seconds_dec AS DECIMAL(38,6)) * 1000000 AS HUGEINT) AS seconds_micro
+          FROM trip_costs)"""
 
 
 def matrix(columns: dict[str, str], statistics: list[str]) -> str:
@@ -253,8 +258,8 @@ def matrix(columns: dict[str, str], statistics: list[str]) -> str:
 def describe(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS metric, count({c}) AS count, {mean(c)} AS mean, {std(c)} AS std,
-            CAST(min({c}) AS DOUBLE) AS min, quantile_cont(round({c}, 6), 0.25) AS q25,
-            quantile_cont(round({c}, 6), 0.5) AS q50, quantile_cont(round({c}, 6), 0.75) AS q75,
+            CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS q25,
+            quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75,
             CAST(max({c}) AS DOUBLE) AS max FROM ({source})"""
         for c in columns)
 
@@ -277,10 +282,9 @@ def histogram(source: str, series: dict[str, str], bins: int) -> str:
 
 
 def exact_histogram(source: str, series: dict[str, str], bins: int, divisor: int) -> str:
-    """Bins of decimals scaled by ``divisor``, so that no edge depends on rounding."""
+    """Bins of integers scaled by ``divisor`` * 10**12, so that no edge depends on rounding."""
     long = " UNION ALL ".join(
-        f"SELECT '{name}' AS series, CAST({c} * 1000000 AS HUGEINT) * 1000000 AS v "
-        f"FROM ({source}) WHERE {c} IS NOT NULL"
+        f"SELECT '{name}' AS series, {c} AS v FROM ({source}) WHERE {c} IS NOT NULL"
         for name, c in series.items())
     low = f"(CAST(e.lo AS DOUBLE) / CAST({divisor}000000000000 AS DOUBLE))"
     high = f"(CAST(e.hi AS DOUBLE) / CAST({divisor}000000000000 AS DOUBLE))"
@@ -672,9 +676,9 @@ QUERIES = {
                min({P}) AS min_auction_price, max({P}) AS max_auction_price FROM auctions""",
     "price_histogram": histogram("SELECT * FROM auctions", {P: P}, 50),
     "cost_diff_histogram": exact_histogram(
-        COSTS.format(divisor=3600), {"cost_diff": "scaled_diff"}, 50, 3600),
+        COSTS.format(divisor=3600), {"cost_diff": "diff_units"}, 50, 3600),
     "cost_vs_price_histogram": exact_histogram(
-        COSTS.format(divisor=60), {"shift_cost": "scaled_cost", "auction_price": "scaled_price"},
+        COSTS.format(divisor=60), {"shift_cost": "cost_units", "auction_price": "price_units"},
         50, 60),
     "cost_curve_histogram": histogram(COST_CURVE, {"cost_diff": "cost_diff"}, 10),
     "rate_box_summary": """
