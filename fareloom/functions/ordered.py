@@ -116,7 +116,14 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequen
             F.max(position - low).alias("part")))
     return ranked.groupBy("metric").agg(F.max("n").alias("n"), F.array(*cuts).alias("cuts")).select(
         "metric", "n",
-        F.transform("cuts", lambda c: c["low"] + (c["high"] - c["low"]) * c["part"]).alias("q"))
+        F.transform("cuts", _between).alias("q"))
+
+
+def _between(cut: Column) -> Column:
+    """Linear interpolation, from whichever rank is nearer."""
+    low, high, part = cut["low"], cut["high"], cut["part"]
+    return F.when(part < 0.5, low + (high - low) * part).otherwise(
+        high - (high - low) * (1 - part))
 
 
 def quantile_row(df: DataFrame, value: Column, probabilities: Sequence[float],

@@ -255,12 +255,25 @@ def matrix(columns: dict[str, str], statistics: list[str]) -> str:
         for name, c in columns.items())
 
 
+def quantile(values: str, p: float) -> str:
+    """Interpolated from the nearer of the two ranks around position (n - 1) * p of a sorted list.
+    (The built-in quantile weights both ends, which differs in the last digit.)"""
+    position = f"((len({values}) - 1) * CAST({p} AS DOUBLE))"
+    low = f"{values}[CAST(floor({position}) AS BIGINT) + 1]"
+    high = f"{values}[CAST(ceil({position}) AS BIGINT) + 1]"
+    part = f"({position} - floor({position}))"
+    return (f"CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part} "
+            f"ELSE {high} - ({high} - {low}) * (1 - {part}) END")
+
+
 def describe(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS metric, count({c}) AS count, {mean(c)} AS mean, {std(c)} AS std,
-            CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS q25,
-            quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75,
-            CAST(max({c}) AS DOUBLE) AS max FROM ({source})"""
+        f"""SELECT metric, count, mean, std, min, {quantile('v', 0.25)} AS q25,
+            {quantile('v', 0.5)} AS q50, {quantile('v', 0.75)} AS q75, max
+            FROM (SELECT '{c}' AS metric, count({c}) AS count, {mean(c)} AS mean, {std(c)} AS std,
+                  CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+                  list(CAST({c} AS DOUBLE) ORDER BY {c}) FILTER ({c} IS NOT NULL) AS v
+                  FROM ({source}))"""
         for c in columns)
 
 
