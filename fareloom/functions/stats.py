@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fareloom.functions.exact import dec, half_even, ratio, std
 from fareloom.functions.ordered import quantile_row, quantiles
+from fareloom.session import written
 
 
 def statistic_matrix(df: DataFrame, columns: Mapping[str, Column],
@@ -99,22 +101,51 @@ def box_summary(df: DataFrame, value: Column) -> DataFrame:
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix in long form ``(a, b, r)``, each pair over the rows where both are known.
 
-    A constant column has no correlation: r is NULL, also with itself.
+    A constant column has no correlation: r is NULL, also with itself. The columns are written
+    out once and centred on their means, so that sums of products do not cancel. Those sums are
+    matrix products of Arrow batches; a partition passes on one row per pair of columns.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("vx"),
-                 F.col(y).cast("double").alias("vy"))
-        for x, y in combinations_with_replacement(columns, 2)
-    ])
-    known = df.select(F.inline(pairs)).where("vx IS NOT NULL AND vy IS NOT NULL")
-    r = F.try_divide(F.covar_samp("vx", "vy"), F.stddev_samp("vx") * F.stddev_samp("vy"))
-    half = known.groupBy("x", "y").agg(half_even(r, 6).alias("r"))
-    both = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")),
-                   F.struct(F.col("y").alias("a"), F.col("x").alias("b")))
-    cells = half.select(F.inline(F.array_distinct(both)), "r")
-    names = df.sparkSession.range(1).select(F.array(*[F.lit(c) for c in columns]).alias("n"))
-    axis = names.select(F.explode("n").alias("a"), "n").select("a", F.explode("n").alias("b"))
-    return axis.join(cells, ["a", "b"], "left")
+    numbers = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "numbers")
+    means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in columns]))
+    centred = numbers.withColumn("means", means.scalar()).select(
+        *[(F.col(c) - F.col("means").getField(c)).alias(c) for c in columns])
+    sums = centred.mapInPandas(
+        _pair_sums, "a string, b string, n long, sa double, sb double, sab double, saa double, "
+                    "sbb double"
+    ).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")])
+
+    def product(xy: str, x: str, y: str) -> Column:
+        return F.col(xy) - ratio(F.col(x) * F.col(y), F.col("n"))
+
+    va, vb = product("saa", "sa", "sa"), product("sbb", "sb", "sb")
+    r = F.when((va > _noise("saa")) & (vb > _noise("sbb")),
+               product("sab", "sa", "sb") / F.sqrt(va * vb))
+    half = sums.select("a", "b", half_even(r, 6).alias("r"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return half.select(F.inline(F.array_distinct(both)), "r")
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = None
+    for batch in batches:
+        values = batch.to_numpy(dtype=float)
+        known = ~np.isnan(values)
+        x, k = np.where(known, values, 0.0), known.astype(float)
+        part = np.stack([k.T @ k, x.T @ k, x.T @ x, (x * x).T @ k])
+        sums, names = (part if sums is None else sums + part), batch.columns
+    if sums is None:
+        return
+    i, j = np.triu_indices(len(names))
+    count, plain, cross, square = sums
+    yield pd.DataFrame({
+        "a": names[i], "b": names[j], "n": count[i, j].astype("int64"),
+        "sa": plain[i, j], "sb": plain[j, i], "sab": cross[i, j],
+        "saa": square[i, j], "sbb": square[j, i]})
+
+
+def _noise(square_sum: str) -> Column:
+    """What rounding can leave of a variance that is zero."""
+    return F.lit(1e-12) * F.col(square_sum)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

@@ -16,6 +16,7 @@ from fareloom.functions.scalars import duration_divisor
 from fareloom.functions.stats import on_bins
 from fareloom.operators.auctions import PAIRS, PRICE, rates_per_chauffeur
 from fareloom.operators.balance import beside
+from fareloom.session import written
 
 RATE = "hourly_rate_eur"
 CHAUFFEUR = key_names("chauffeur_uuid")
@@ -52,10 +53,20 @@ def booking_costs(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
     )
 
 
-def _difference_sums(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame, divisor: int,
-                     *more: Column) -> DataFrame:
+def _trip_cells(bookings: DataFrame, auctions: DataFrame, *more: str) -> DataFrame:
+    """Trips counted per chauffeur, duration and price: what shifts are then set against.
+
+    Several branches of a report start from them, so they are written out once.
+    """
+    keep = [F.col(c) for c in more]
+    return written(_trips(bookings, auctions, *keep).groupBy(
+        *CHAUFFEUR, "booked_duration", PRICE, *more).agg(F.sum("copies").alias("copies")),
+        "trip-cells")
+
+
+def _difference_sums(cells: DataFrame, shifts: DataFrame, divisor: int) -> DataFrame:
     """Per trip cell: joined rows, known differences, and their exact sum times ``divisor``."""
-    joined = _trips(bookings, auctions, *more).join(rates_per_chauffeur(shifts), CHAUFFEUR, "left")
+    joined = cells.join(rates_per_chauffeur(shifts), CHAUFFEUR, "left")
     copies = F.col("copies").cast(PAIRS)
     known = F.col(PRICE).isNotNull() & F.col("booked_duration").isNotNull()
     n_diff = F.when(known, copies * F.coalesce(F.col("n_rate"), F.lit(0))).otherwise(F.lit(0))
@@ -79,9 +90,10 @@ def cost_comparison_summary(bookings: DataFrame, auctions: DataFrame, shifts: Da
     divisor = duration_divisor(duration_unit)
     shift_cost = shifts.agg(product_total("shift_working_hours", RATE).alias("total"))
     price = auctions.agg(mean(PRICE).alias("mean"))
-    difference = _difference_sums(bookings, auctions, shifts, divisor).agg(
+    trips = _trip_cells(bookings, auctions)
+    difference = _difference_sums(trips, shifts, divisor).agg(
         _mean_difference(divisor).alias("mean"))
-    cells, rates, limits = _difference_cells(bookings, auctions, shifts, divisor)
+    cells, (rates, limits) = _difference_cells(trips, divisor), _rate_tables(shifts)
     signs = F.array(*[
         F.struct(F.lit(i).alias("id"), F.lit(i).cast(WIDE).alias("edge")) for i in (0, 1)])
     counted = _at_least(cells.withColumn("edges", signs), rates, limits).agg(
@@ -101,10 +113,10 @@ def cost_comparison_summary(bookings: DataFrame, auctions: DataFrame, shifts: Da
 def cost_diff_by_hour(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
                       duration_unit: str = "h") -> DataFrame:
     divisor = duration_divisor(duration_unit)
-    hour = F.hour("booked_start_at").alias("hour")
-    return _difference_sums(
-        bookings.dropna(subset=["booked_start_at"]), auctions, shifts, divisor, hour
-    ).groupBy("hour").agg(_mean_difference(divisor).alias("avg_cost_diff"))
+    timed = bookings.dropna(subset=["booked_start_at"]).withColumn(
+        "hour", F.hour("booked_start_at"))
+    trips = _trips(timed, auctions, F.col("hour"))
+    return _difference_sums(trips, shifts, divisor).groupBy("hour").agg(_mean_difference(divisor).alias("avg_cost_diff"))
 
 
 def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
@@ -115,14 +127,14 @@ def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shi
     NULL mean, and a constant duration has no bins (see ``cost_diff_summary``).
     """
     divisor = duration_divisor(duration_unit)
-    by_duration = _difference_sums(bookings, auctions, shifts, divisor).dropna(
+    by_duration = written(_difference_sums(_trips(bookings, auctions), shifts, divisor).dropna(
         subset=["booked_duration"]
     ).groupBy("booked_duration").agg(
         F.sum("rows").alias("rows"), F.sum("n_diff").alias("n_diff"),
-        F.sum("sum_diff").alias("sum_diff"))
-    edges = quantile_row(
+        F.sum("sum_diff").alias("sum_diff")), "duration-cells")
+    edges = written(quantile_row(
         by_duration, F.col("booked_duration"), [i / bins for i in range(bins + 1)],
-        F.col("rows")).select(F.array_distinct("q").alias("edges"))
+        F.col("rows")).select(F.array_distinct("q").alias("edges")), "duration-edges")
     value = F.col("booked_duration")
     # Bin i is (edge[i], edge[i+1]]; the first also holds its lower edge.
     below = F.size(F.filter("edges", lambda e: e < value))
@@ -180,34 +192,31 @@ def cost_summary(shifts: DataFrame, auctions: DataFrame) -> DataFrame:
 
 
 def _rate_tables(shifts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shift counts per chauffeur and rate, and the range and number of each chauffeur's rates."""
     known = shifts.dropna(subset=[RATE])
-    rates = known.groupBy(
+    rates = written(known.groupBy(
         *null_key(known, "chauffeur_uuid"), micro(F.col(RATE)).alias("code")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.count("*").alias("n")), "rates")
     limits = rates.groupBy(*CHAUFFEUR).agg(
         F.min("code").alias("low"), F.max("code").alias("high"), F.sum("n").alias("n_rate"))
     return rates, limits
 
 
-def _difference_cells(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
-                      divisor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _difference_cells(trips: DataFrame, divisor: int) -> DataFrame:
     """Cells of price - rate * duration, scaled by divisor * 10**12."""
-    cells = _trips(bookings, auctions).dropna(subset=[PRICE, "booked_duration"]).groupBy(
+    return trips.dropna(subset=[PRICE, "booked_duration"]).select(
         *CHAUFFEUR,
         (micro(F.col(PRICE)).cast(WIDE) * F.lit(divisor * MICRO).cast(WIDE)).alias("base"),
         (-micro(F.col("booked_duration"))).cast(WIDE).alias("slope"),
-    ).agg(F.sum("copies").alias("copies"))
-    return cells, *_rate_tables(shifts)
+        "copies")
 
 
-def _cost_cells(bookings: DataFrame, auctions: DataFrame,
-                shifts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cost_cells(trips: DataFrame) -> DataFrame:
     """Cells of rate * duration, scaled by divisor * 10**12."""
-    cells = _trips(bookings, auctions).dropna(subset=["booked_duration"]).groupBy(
+    return trips.dropna(subset=["booked_duration"]).groupBy(
         *CHAUFFEUR, F.lit(0).cast(WIDE).alias("base"),
         micro(F.col("booked_duration")).cast(WIDE).alias("slope"),
     ).agg(F.sum("copies").alias("copies"))
-    return cells, *_rate_tables(shifts)
 
 
 def _floor_div(a: Column, b: Column, low: Column, high: Column) -> Column:
@@ -291,9 +300,10 @@ def _binned_combinations(cells: DataFrame, rates: DataFrame, limits: DataFrame,
 def cost_diff_histogram(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
                         bins: int = 50, duration_unit: str = "h") -> DataFrame:
     divisor = duration_divisor(duration_unit)
-    cells, rates, limits = _difference_cells(bookings, auctions, shifts, divisor)
-    edges = _value_range(cells, limits).agg(
-        F.min("value_low").alias("low"), F.max("value_high").alias("high"))
+    cells = _difference_cells(_trip_cells(bookings, auctions), divisor)
+    rates, limits = _rate_tables(shifts)
+    edges = written(_value_range(cells, limits).agg(
+        F.min("value_low").alias("low"), F.max("value_high").alias("high")), "edges")
     counted = _binned_combinations(cells, rates, limits, edges, bins).withColumn(
         "series", F.lit("cost_diff"))
     return on_bins(counted, _edges_as_numbers(edges, divisor), ["cost_diff"], bins)
@@ -303,13 +313,15 @@ def cost_vs_price_histogram(bookings: DataFrame, auctions: DataFrame, shifts: Da
                             bins: int = 50, duration_unit: str = "min") -> DataFrame:
     """Shift cost and auction price of all combinations, on the same bin edges."""
     divisor = duration_divisor(duration_unit)
-    cells, rates, limits = _cost_cells(bookings, auctions, shifts)
-    prices = _difference_sums(bookings, auctions, shifts, divisor).dropna(subset=[PRICE]).groupBy(
+    trips = _trip_cells(bookings, auctions)
+    cells, (rates, limits) = _cost_cells(trips), _rate_tables(shifts)
+    prices = _difference_sums(trips, shifts, divisor).dropna(subset=[PRICE]).groupBy(
         (micro(F.col(PRICE)).cast(WIDE) * F.lit(divisor * MICRO).cast(WIDE)).alias("value")
     ).agg(F.sum("rows").alias("n"))
     extremes = _value_range(cells, limits).select("value_low", "value_high").unionByName(
         prices.select(F.col("value").alias("value_low"), F.col("value").alias("value_high")))
-    edges = extremes.agg(F.min("value_low").alias("low"), F.max("value_high").alias("high"))
+    edges = written(extremes.agg(
+        F.min("value_low").alias("low"), F.max("value_high").alias("high")), "edges")
     costs = _binned_combinations(cells, rates, limits, edges, bins).withColumn(
         "series", F.lit("shift_cost"))
     span = F.col("e.high") - F.col("e.low")
