@@ -97,7 +97,8 @@ IDENTIFIERS = ("booking_uuid", "chauffeur_uuid")
 def merged_context(bookings: DataFrame, auctions: DataFrame, weather: DataFrame | None,
                    calendar: DataFrame | None) -> DataFrame:
     """Auctioned bookings with the weather and the events of their day, one row per combination."""
-    merged = bookings.join(auctions, "booking_uuid").withColumns({
+    shared = set(bookings.columns) & set(auctions.columns) - {"booking_uuid"}
+    merged = bookings.join(auctions.drop(*shared), "booking_uuid").withColumns({
         "hour_of_day": F.hour(START), "date": F.to_date(START)})
     if weather is not None:
         merged = left_join_small(merged, weather, "date")
