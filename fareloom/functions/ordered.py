@@ -2,8 +2,8 @@
 
 ``sums_before`` answers, for many probes at once, "what do the points below this code add up
 to?". A single running window would put a whole group (or, without keys, the whole table) in one
-task. Here the 64-bit code is cut into 16-bit digits: a window only ever orders the at most
-65,536 distinct digits that share all higher digits, and the levels are added up by joins.
+task. Here the code is cut into 20-bit digits: a window only ever orders the at most 1,048,576
+distinct digits that share all higher digits, and the digits' sums are added up by a join.
 Distribution statistics, rank comparisons and band joins are all built on it.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DIGIT_BITS = 16
+DIGIT_BITS = 20
 MICRO = 1_000_000
 
 
@@ -47,12 +47,12 @@ def first_code_above(bound: Column) -> Column:
 
 
 def sums_before(points: DataFrame, probes: DataFrame, code: str, measures: Sequence[str],
-                keys: Sequence[str] = (), levels: int = 3) -> DataFrame:
+                keys: Sequence[str] = (), levels: int = 2) -> DataFrame:
     """One row per distinct probe ``(*keys, code)``: ``before_<m>`` is the sum of measure m over
     the points of the same keys with a smaller code.
 
     Keys and codes must not be NULL. ``levels`` digits are cut off; the top one keeps all higher
-    bits, so three levels serve codes up to 2**48.
+    bits, so two levels serve codes up to 2**40; more levels serve larger ones.
     """
     keys = list(keys)
     place = [*keys, "tier", "block", "digits"]

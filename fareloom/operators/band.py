@@ -76,9 +76,9 @@ def similar_auctions(bookings: DataFrame, auctions: DataFrame, tolerance: float
     The booking's own auctions count as similar unless ``exclude_self``. Without a match the
     count is 0 and mean and share are NULL.
     """
+    points = written(auction_points(bookings, auctions), "band-points")
     return _report(with_similar_auctions(
-        bookings, auction_points(bookings, auctions), tolerance,
-        auctions if exclude_self else None))
+        bookings, points, tolerance, auctions if exclude_self else None))
 
 
 def auction_points(history: DataFrame, auctions: DataFrame) -> DataFrame:
@@ -94,12 +94,17 @@ def auction_points(history: DataFrame, auctions: DataFrame) -> DataFrame:
 
 
 def with_similar_auctions(bookings: DataFrame, points: DataFrame, tolerance: float = TOLERANCE,
-                          without: DataFrame | None = None) -> DataFrame:
+                          without: DataFrame | None = None,
+                          folder: str | None = None) -> DataFrame:
     """Bookings, past or incoming, with ``matched_auctions``, ``similar_price`` and
-    ``similar_success``. Auctions given as ``without`` do not count for their own booking."""
+    ``similar_success``. Auctions given as ``without`` do not count for their own booking.
+
+    ``points`` (``auction_points``) are read several times and should be a written table.
+    """
     queries = bookings.select("booked_duration", "booked_distance").dropna().distinct()
     out = bookings.join(
-        band_sums(points, queries, tolerance), ["booked_duration", "booked_distance"], "left")
+        band_sums(points, queries, tolerance, folder), ["booked_duration", "booked_distance"],
+        "left")
     return _matched(out if without is None else _without_own(out, _price_sums(without)))
 
 
@@ -114,22 +119,22 @@ def _without_own(out: DataFrame, own: DataFrame) -> DataFrame:
     }).drop(*BOOKING, *[f"own_{m}" for m in MEASURES])
 
 
-def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANCE,
+              folder: str | None = None) -> DataFrame:
     """Sums of the points in the band of each (booked_duration, booked_distance) query.
 
-    Points, bands and ranks feed several branches, so they are written out once.
+    Bands and ranks feed several branches, so they are written out once.
     """
-    points = written(points, "band-points")
     ranged = written(queries.withColumns(
         {**_band("booked_duration", tolerance), **_band("booked_distance", tolerance)}
     ).where("booked_duration_from < booked_duration_to "
-            "AND booked_distance_from < booked_distance_to"), "bands")
+            "AND booked_distance_from < booked_distance_to"), "bands", folder)
     known = points.select("duration_code").distinct().withColumn("one", F.lit(1).cast("bigint"))
     asked = points.select(F.col("duration_code").alias("code")).union(
         ranged.select("booked_duration_from")).union(ranged.select("booked_duration_to"))
     ranks = written(sums_before(
         known.withColumnRenamed("duration_code", "code"), asked, "code", ["one"]
-    ).select("code", F.col("before_one").alias("rank")), "band-ranks")
+    ).select("code", F.col("before_one").alias("rank")), "band-ranks", folder)
     top = known.agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("levels"))
 
     def ranked(df: DataFrame, code: str, rank: str) -> DataFrame:

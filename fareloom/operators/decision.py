@@ -52,7 +52,8 @@ def enriched(bookings: DataFrame, shifts: DataFrame, auctions: DataFrame,
     if duration_only:
         similar = with_similar_auctions_1d(bookings, auctions, tolerance)
     else:
-        points = auction_points(bookings if history is None else history, auctions)
+        points = written(
+            auction_points(bookings if history is None else history, auctions), "band-points")
         similar = with_similar_auctions(
             bookings, points, tolerance, auctions if exclude_self else None)
     return with_supply(similar, shifts)

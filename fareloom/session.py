@@ -47,12 +47,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/fareloom/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder.
 
     For an intermediate result that several branches of a plan use: it is computed once, survives
-    the loss of executors, and its size on disk tells Spark whether it can be broadcast.
+    the loss of executors, and its size on disk tells Spark whether it can be broadcast. A
+    ``folder`` of the caller's is written over, so that a stream does not pile up tables.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    path = f"{folder}/{purpose}" if folder else shared_folder(df.sparkSession, purpose)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fareloom.functions.exact import dec
@@ -18,14 +18,16 @@ def stream_decisions(bookings: DataFrame, points: DataFrame, shifts: DataFrame,
                      duration_unit: str = "min", tolerance: float = TOLERANCE) -> StreamingQuery:
     """Decide every micro-batch of an unbounded ``bookings`` stream.
 
-    ``points`` are the similar-auction points of the past (``auction_points``), best read from a
+    ``points`` are the similar-auction points of the past (``auction_points``), read from a
     written table. Each batch goes to its own folder, written over on a retry, so that a batch
     replayed after a failure is not doubled.
     """
     def decide_batch(batch: DataFrame, batch_id: int) -> None:
-        matched = with_supply(with_similar_auctions(batch, points, tolerance), shifts)
-        decisions = decide(with_costs(matched, duration_unit), model)
+        batch.persist()
+        matched = with_similar_auctions(batch, points, tolerance, folder=f"{out}-work")
+        decisions = decide(with_costs(with_supply(matched, shifts), duration_unit), model)
         decisions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         bookings.writeStream.foreachBatch(decide_batch)
@@ -42,14 +44,21 @@ def windowed_demand(bookings: DataFrame, window: str = "1 day",
     A window is emitted once it is closed, that is, once a booking later than its end plus the
     watermark was seen; bookings later than that are dropped.
     """
-    timed = bookings.withColumn("at", F.col("booked_start_at").cast("timestamp"))
+    # Days are those of the naive times, whatever the session's zone: taken as UTC and back.
+    utc, zone = F.lit("UTC"), F.lit(bookings.sparkSession.conf.get("spark.sql.session.timeZone"))
+    timed = bookings.withColumn(
+        "at", F.convert_timezone(utc, zone, F.col("booked_start_at")).cast("timestamp"))
+
+    def naive(c: str) -> Column:
+        return F.convert_timezone(zone, utc, F.col(c).cast("timestamp_ntz"))
+
     return timed.withWatermark("at", watermark).groupBy(F.window("at", window).alias("w")).agg(
         F.count("booking_uuid").alias("total_bookings"),
         F.sum(dec("booked_duration")).cast("double").alias("total_booking_duration"),
         F.sum(dec("gross_revenue_eur")).cast("double").alias("total_revenue"),
     ).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        naive("w.start").alias("window_start"),
+        naive("w.end").alias("window_end"),
         "total_bookings", "total_booking_duration", "total_revenue")
 
 

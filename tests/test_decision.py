@@ -6,6 +6,7 @@ import pytest
 
 from conftest import TESTDATA
 from fareloom.operators import band, decision, geo
+from fareloom.session import written
 from fareloom.sources.tables import EVENTS, DerivedMarketplace, bookings_of
 from fareloom.streaming import jobs
 
@@ -81,7 +82,7 @@ def test_missing_coordinates_are_named(market):
 
 def test_streamed_decisions_equal_batch(spark, market, model, tmp_path):
     market.events.repartition(3).write.parquet(f"{tmp_path}/arriving")
-    points = band.auction_points(market.bookings, market.auctions)
+    points = written(band.auction_points(market.bookings, market.auctions), "points")
     arriving = bookings_of(jobs.read_stream(spark, f"{tmp_path}/arriving", EVENTS, 1))
     jobs.stream_decisions(arriving, points, market.shifts, model, f"{tmp_path}/out",
                           f"{tmp_path}/state").awaitTermination()
