@@ -32,6 +32,12 @@ def _cost_curve(m: DerivedMarketplace) -> DataFrame:
         cleaning.clean_shifts(m.shifts), cleaning.clean_auctions(m.auctions), trip_duration=1.5)
 
 
+def _cost_recommendations(m: DerivedMarketplace) -> DataFrame:
+    return A.cost_recommendations(_cost_curve(m)).withColumns({
+        c: F.array_join(F.col(c).cast("array<string>"), ",")
+        for c in ("prefer_shifts", "prefer_auctions")})
+
+
 def _describe_daily(m: DerivedMarketplace) -> DataFrame:
     supply = describe(U.supply_daily(m.shifts), {
         c: F.col(c) for c in ("total_shifts", "total_hours", "avg_rate")})
@@ -96,7 +102,7 @@ ANALYSES: dict[str, Analysis] = {
     "peak_hours_full": lambda m: A.peak_hours_full(m.bookings, m.auctions),
     "peak_hours_overview": lambda m: A.peak_hours_overview(m.bookings, m.auctions),
     "hourly_cost_curve": _cost_curve,
-    "cost_recommendations": lambda m: A.cost_recommendations(_cost_curve(m)),
+    "cost_recommendations": _cost_recommendations,
     # supply against demand
     "kpis": lambda m: B.kpis(m.shifts, m.bookings, m.auctions),
     "hours_distribution": lambda m: B.hours_distribution(m.shifts, m.bookings),

@@ -539,10 +539,10 @@ QUERIES = {
                {mean('avg_duration')} AS avg_duration_minutes FROM ({FULL_HOURS})""",
     "hourly_cost_curve": COST_CURVE,
     "cost_recommendations": f"""
-        SELECT COALESCE(list(hour_of_day ORDER BY hour_of_day) FILTER (cost_diff < 0), [])
-                   AS prefer_shifts,
-               COALESCE(list(hour_of_day ORDER BY hour_of_day) FILTER (cost_diff > 0), [])
-                   AS prefer_auctions,
+        SELECT COALESCE(string_agg(CAST(hour_of_day AS VARCHAR), ',' ORDER BY hour_of_day)
+                        FILTER (cost_diff < 0), '') AS prefer_shifts,
+               COALESCE(string_agg(CAST(hour_of_day AS VARCHAR), ',' ORDER BY hour_of_day)
+                        FILTER (cost_diff > 0), '') AS prefer_auctions,
                {mean('abs(cost_diff)')} AS avg_potential_savings FROM ({COST_CURVE})""",
     "kpis": f"""
         SELECT s.hours / b.rows AS hours_per_booking, b.revenue / s.hours AS revenue_per_hour,
@@ -844,8 +844,31 @@ QUERIES = {
 }
 
 
+# Queries whose hours, weekdays and ranks are 32-bit; the functions of the SQL engine give 64.
+HOURLY = ("hours_by_start_hour hourly_utilization hourly_auctions auction_price_vs_revenue_by_hour "
+          "auction_price_vs_revenue_table peak_hours_price_vs_cost peak_hours_revenue "
+          "peak_hours_full hours_distribution_aligned cost_diff_by_hour price_by_hour "
+          "bookings_by_hour").split()
+AS_INTEGER = {
+    **{name: ["hour"] for name in HOURLY},
+    **{name: ["weekday", "hour"] for name in (
+        "shift_rate_by_day_hour", "shift_rate_by_start_hour", "auction_price_by_day_hour",
+        "peak_price_slots")},
+    **{name: ["hour_of_day", "day_of_week"] for name in (
+        "decision_features", "decision_features_1d")},
+    "hour_insights": ["rank", "hour"],
+    "clean_shifts": ["hour_of_day"],
+    "clean_auctions": ["hour_of_day"],
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {name: with_tables(query) for name, query in QUERIES.items()}
+    return {name: with_tables(_typed(name, query)) for name, query in QUERIES.items()}
+
+
+def _typed(name: str, query: str) -> str:
+    casts = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in AS_INTEGER.get(name, []))
+    return f"SELECT * REPLACE ({casts}) FROM ({query})" if casts else query
 
 
 def with_tables(query: str) -> str:
