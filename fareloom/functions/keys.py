@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 def null_key(df: DataFrame, column: str) -> list[Column]:
     """Two non-null columns that are equal exactly when the key is equal, NULL included.
 
-    Plain equality on the pair keeps one hash partitioning through aggregation and join;
-    a null-safe comparison in the join condition would shuffle the aggregated side again.
+    A table aggregated by the pair alone is already partitioned for a join on it; a null-safe
+    comparison in the join condition would shuffle the aggregated side again.
     """
     kind = df.schema[column].dataType
     blank = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
