@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app="bench",
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.ui.enabled": "false", "spark.driver.memory": "16g",
            "spark.python.sql.dataFrameDebugging.enabled": "false",
            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"})
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +33,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
-
-    The cluster names that folder because executors and driver must all see it. Only a local
-    session may fall back to a temporary folder.
-    """
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors must all see."""
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="fareloom-")
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
     return f"{root.rstrip('/')}/fareloom/{purpose}-{uuid.uuid4().hex}"
 
 
