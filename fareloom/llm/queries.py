@@ -6,12 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import exact_dedup, outliers
+from fareloom.llm import bpe, exact_dedup, outliers, packing
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
+#: The tokenizer file of the queries; installed on every machine.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(documents(spark, folder), tokenizer_path()).select(
+        "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces)
+
+
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    return bpe.decode(bpe.encode(documents(spark, folder), path), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.quality_rules(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -25,4 +48,5 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op5_packing, op6_bpe, op7_quality_rules, op10_exact_dedup)}
