@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fareloom.llm.texts import text_of
@@ -19,6 +20,10 @@ from fareloom.llm.texts import text_of
 SLICE_BYTES, WORD_GROUP, REMEMBERED = 4 << 20, 40_000, 250_000
 
 
+#: Signs that runs of Latin letters don't have; other signs go through the library.
+ODD = re.compile(r"[^!-~\u00a1-\u024f]")
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte: itself if visible in Latin-1, else the next free sign
     from 256 on."""
@@ -58,46 +63,60 @@ class PairIndexEncoder:
         self.ranks: dict[int, tuple[int, int]] = {
             self.vocab[a] << 32 | self.vocab[b]: (rank, self.vocab[a + b])
             for rank, (a, b) in enumerate(pairs)}
-        self.pieces: dict[str, list[int]] = {}
-
-    def pre_tokens(self, word: bytes) -> list[str | int]:
-        """What the file's normaliser and splitter make of a run without white space; an added
-        token comes as its id."""
-        text = word.decode("utf-8", "replace")
-        if self.cut and self.cut.search(text):
-            out: list[str | int] = []
-            at = 0
-            for m in self.cut.finditer(text):
-                out += [p for p, _ in self.split(self.normalize(text[at:m.start()]))]
-                out.append(self.added[m[0]])
+        signs = byte_alphabet()
+        self.inner = [self.vocab[signs[b]] for b in range(256)]
+        self.final = [self.vocab[signs[b] + self.suffix] for b in range(256)]
+        self.back = {sign: b for b, sign in signs.items()}
+        pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"]
+                       if s["type"] == "Split")
+        self.plain = regex.compile(pattern)
+        self.known: dict[bytes, list[int]] = {}
+
+    def pre_tokens(self, words: list[bytes]) -> list[list[bytes | int]]:
+        """What the file's normaliser and splitter make of runs without ASCII white space.
+
+        An added token comes as its id. Runs of plain Latin letters and signs are normalised
+        together, with spaces between, and split by the file's pattern; all others go one by one
+        through the library.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        latin = [k for k, t in enumerate(texts) if not ODD.search(t) and not (
+            self.cut and self.cut.search(t))]
+        lowered = self.normalize(" ".join([texts[k] for k in latin])).split(" ")
+        out: list[list[bytes | int]] = [[]] * len(words)
+        for k, t in zip(latin, lowered, strict=True):
+            out[k] = [t.encode()] if t.isalpha() else [m.encode() for m in self.plain.findall(t)]
+        for k in sorted(set(range(len(words))).difference(latin)):
+            out[k], at = [], 0
+            t = texts[k]
+            for m in self.cut.finditer(t) if self.cut else ():
+                out[k] += [*self._library(t[at:m.start()]), self.added[m[0]]]
                 at = m.end()
-            return out + [p for p, _ in self.split(self.normalize(text[at:]))]
-        return [p for p, _ in self.split(self.normalize(text))]
+            out[k] += self._library(t[at:])
+        return out
+
+    def _library(self, text: str) -> list[bytes]:
+        return [bytes([self.back[c] for c in p]) for p, _ in self.split(self.normalize(text))]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token, by the pair index over all of them."""
-        symbols, starts = array("i"), []
-        after, before = array("i"), array("i")
+        symbols, starts, before, after = [], [], [], []
+        inner, final = self.inner, self.final
         for piece in pieces:
             starts.append(at := len(symbols))
-            last = len(piece) - 1
-            # A sign that the vocabulary lacks is left out, as without an unknown token.
-            ids = [i for k, c in enumerate(piece)
-                   if (i := self.vocab.get(c + self.suffix if k == last else c)) is not None]
-            symbols.extend(ids)
-            before.extend(range(at - 1, at + len(ids) - 1))
-            after.extend(range(at + 1, at + len(ids) + 1))
-            if ids:
-                before[at], after[-1] = -1, -1
+            symbols += [inner[b] for b in piece]
+            symbols[-1] = final[piece[-1]]
+            before.append(-1)
+            before += range(at, len(symbols) - 1)
+            after += range(at + 1, len(symbols))
+            after.append(-1)
         starts.append(len(symbols))
 
         ranks = self.ranks
         index: dict[int, list[int]] = {}
-        flat = np.frombuffer(symbols, dtype=np.int32).astype(np.int64) if symbols else \
-            np.zeros(0, np.int64)
+        flat = np.array(symbols, np.int64)
         codes = (flat[:-1] << 32) | flat[1:]
-        inner = np.frombuffer(after, dtype=np.int32)[:-1] >= 0 if symbols else np.zeros(0, bool)
-        where = np.nonzero(inner)[0]
+        where = np.nonzero(np.array(after[:-1], np.int64) >= 0)[0]
         order = where[np.argsort(codes[where], kind="stable")]
         edges = np.nonzero(np.diff(codes[order], prepend=-1))[0]
         for code, positions in zip(codes[order][edges].tolist(), np.split(order, edges[1:])):
@@ -139,11 +158,14 @@ class PairIndexEncoder:
                             heapq.heappush(active, (ranks[new][0], new))
         return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, starts[1:])]
 
-    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
-        split = [self.pre_tokens(w) for w in words]
-        new = list({p for row in split for p in row if isinstance(p, str)})
-        ids = dict(zip(new, self.encode_pieces(new)))
-        return [[i for p in row for i in ([p] if isinstance(p, int) else ids[p])]
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        split = self.pre_tokens(words)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list({p for row in split for p in row if isinstance(p, bytes)} - self.known.keys())
+        self.known.update(zip(new, self.encode_pieces(new)))
+        return [self.known[row[0]] if len(row) == 1 and isinstance(row[0], bytes) else
+                [i for p in row for i in ([p] if isinstance(p, int) else self.known[p])]
                 for row in split]
 
 

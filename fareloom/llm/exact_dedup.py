@@ -32,8 +32,9 @@ def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text"
 
     Step 3 finds its rows by a bitmap of ``filter_bits`` bits (4 MB) over the hashes of the groups
     left, so that texts are neither shuffled nor joined to find them. The bitmap has a fixed size
-    whatever the input, and a false hit only costs a hash. Counts are aggregated before they are
-    shuffled, and the join back to the rows of a group is one that adaptive execution can split.
+    whatever the input, and a false hit only costs a hash. Rows are summed to one per length and
+    prefix hash before they are shuffled, and the join back to the rows of a group is one that
+    adaptive execution can split.
 
     Missing texts count as empty, and all empty texts are equal. Rows that repeat a ``doc_id``
     with an equal text are one document: all are kept or none, and each counts in ``group_size``.
@@ -49,10 +50,9 @@ def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text"
     head = F.xxhash64(F.octet_length("_text"), ascii_lower(
         F.substring(F.col("_text"), 1, prefix_chars))).alias("_head")
 
-    probes = written(source.select(length, head), "exact-probes")
-    lengths = probes.groupBy("_length").agg(F.count("*").alias("_n")).where("_n > 1")
-    left = probes.join(lengths, "_length", "left_semi").groupBy("_length", "_head").agg(
-        F.count("*").alias("_n")).where("_n > 1")
+    cells = written(source.groupBy(length, head).agg(F.count("*").alias("_n")), "exact-cells")
+    lengths = cells.groupBy("_length").agg(F.sum("_n").alias("_rows")).where("_rows > 1")
+    left = cells.where("_n > 1").join(lengths, "_length", "left_semi")
     buckets = max(1, filter_bits // ROW_BITS)
     spread = F.pmod(F.col("_head"), F.lit(buckets * ROW_BITS))
     bitmap = written(left.groupBy(F.floor(spread / ROW_BITS).alias("_bucket")).agg(
