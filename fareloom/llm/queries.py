@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import bpe, exact_dedup, outliers, packing
+from fareloom.llm import bpe, brown, exact_dedup, outliers, packing, quality_fm
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
@@ -21,6 +21,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_fm.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return quality_fm.score(docs, model).select(
+        "doc_id", F.coalesce(quality_fm.remainder() == 2, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, folder), tokenizer_path()).select(
         "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -41,6 +49,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", "d2")
 
 
+def op8_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.class_ngram_scores(documents(spark, folder)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text").withColumn(
         "text_sha256", F.sha2(ascii_lower(text_of()), 256))
@@ -49,4 +62,5 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op5_packing, op6_bpe, op7_quality_rules, op10_exact_dedup)}
+        op3_quality_classifier, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
+        op10_exact_dedup)}
