@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -17,7 +18,7 @@ from fareloom.llm.texts import text_of
 
 #: Text is encoded in slices of about so many bytes, words in groups of so many, and so many
 #: words are remembered; all three only bound memory.
-SLICE_BYTES, WORD_GROUP, REMEMBERED = 4 << 20, 40_000, 250_000
+SLICE_BYTES, WORD_GROUP, REMEMBERED = 2 << 20, 20_000, 150_000
 
 
 #: Signs that runs of Latin letters don't have; other signs go through the library.
@@ -214,22 +215,21 @@ class WordEncoder:
         return ids, np.concatenate([[0], upto])[counts]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``SLICE_BYTES`` together."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= SLICE_BYTES:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def binary(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in ranges of about ``SLICE_BYTES``: where each begins, and its texts."""
+    upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield start, binary(column.slice(start, stop - start))
+        start = stop
+
+
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
@@ -255,11 +255,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
-            texts = binary(batch.column(1))
-            for a, b in slices(texts):
-                ids, ends = encoder.encode(texts[a:b])
+            for a, texts in slices(batch.column(1)):
+                ids, ends = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(
+                    [batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(
                         pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))],
                     names=["doc_id", "ids"])
 

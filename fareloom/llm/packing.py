@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fareloom.llm.bpe import WordEncoder, binary, slices
+from fareloom.llm.bpe import WordEncoder, slices
 from fareloom.llm.texts import text_of
 from fareloom.session import written
 
@@ -53,21 +53,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _library_encoder(path)
         for batch in batches:
-            texts = binary(batch.column(1))
-            for a, b in slices(texts):
-                ids, ends = encoder.encode(texts[a:b])
+            for a, texts in slices(batch.column(1)):
+                n = len(texts)
+                ids, ends = encoder.encode(texts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
-                ends = ends + np.arange(1, b - a + 1)
+                ends = ends + np.arange(1, n + 1)
                 begins = np.concatenate([[0], ends[:-1]])
                 sizes = ends - begins
                 pieces = -(-sizes // capacity)
-                row = np.repeat(np.arange(b - a), pieces)
+                row = np.repeat(np.arange(n), pieces)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = nth * capacity
                 length = np.minimum(capacity, sizes[row] - start)
                 offsets = np.concatenate([begins[row] + start, ends[-1:]]) * 4
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start),
+                    batch.column(0).slice(a, n).take(pa.array(row)), pa.array(start),
                     pa.array(length), pa.array(sizes[row]),
                     pa.Array.from_buffers(pa.binary(), len(row), [
                         None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])],
