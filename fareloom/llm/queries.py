@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import bpe, brown, exact_dedup, outliers, packing, quality_fm
+from fareloom.llm import bpe, brown, exact_dedup, outliers, packing, quality_fm, surrogates
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
 TOKENIZER = "word_bpe_49k.json"
 
+#: Stands in for the key that an owner of real data would keep.
+SURROGATE_KEY = "benchmark"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,6 +57,13 @@ def op8_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = surrogates.replace_entities(documents(spark, folder), key=SURROGATE_KEY)
+    return replaced.select(
+        "doc_id", F.size("_entities").cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("_entities")), ",").alias("kinds"), "text")
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text").withColumn(
         "text_sha256", F.sha2(ascii_lower(text_of()), 256))
@@ -63,4 +73,4 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op3_quality_classifier, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
-        op10_exact_dedup)}
+        op9_surrogates, op10_exact_dedup)}
