@@ -184,7 +184,7 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, words: int, classes: int,
     return of
 
 
-def class_ngram_scores(docs: DataFrame, text: str = "text", frequent: int = 2048) -> DataFrame:
+def class_ngram_scores(docs: DataFrame, text: str = "text", frequent: int = 1024) -> DataFrame:
     """For each row doc_id, held_out, n_tokens, n_known, train_tokens, base_score and ``score``.
 
     Tokens are the words of the text, A-Z lower-cased, and one END. The model learns from the rows
@@ -237,8 +237,8 @@ def class_ngram_scores(docs: DataFrame, text: str = "text", frequent: int = 2048
 
     seen = _each(slices, "pair long, n long", frequent_pairs,
                  ["sizes", "held", "words", "codes"]).groupBy("pair").agg(
-        F.sum("n").alias("n")).toPandas().sort_values("pair")
-    pair, n = seen["pair"].to_numpy(np.int64), seen["n"].to_numpy(np.float64)
+        F.sum("n").alias("n")).toArrow().sort_by("pair")
+    pair, n = (seen.column(c).to_numpy() for c in ("pair", "n"))
     top_class = exchange(np.stack([pair // max(k, 1), pair % max(k, 1)], axis=1), n, k, CLASSES)
     class_pairs = np.zeros((CLASSES, CLASSES))
     np.add.at(class_pairs, (top_class[pair // max(k, 1)], top_class[pair % max(k, 1)]), n)
