@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import bpe, brown, exact_dedup, outliers, packing, quality_fm, surrogates
+from fareloom.llm import (
+    bpe, brown, exact_dedup, outliers, packing, quality_fm, suffix_dedup, surrogates)
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
@@ -24,6 +25,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return suffix_dedup.repeated_spans(documents(spark, folder)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality_fm.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -72,5 +80,5 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op3_quality_classifier, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
+        op1_suffix_dedup, op3_quality_classifier, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
         op9_surrogates, op10_exact_dedup)}
