@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fareloom.llm.bpe import WordEncoder, slices
+from fareloom.llm.bpe import WordEncoder, preparation, slices
 from fareloom.llm.texts import text_of
 from fareloom.session import written
 
@@ -22,17 +24,36 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def _library_encoder(path: str) -> WordEncoder:
     """Distinct words by the tokenizers library, one encoder for each worker process and file."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         own.no_truncation()
         own.no_padding()
 
+        suffix = json.loads(own.to_str())["model"].get("end_of_word_suffix") or "\0"
+        last = np.zeros(own.get_vocab_size(), bool)
+        last[[i for t, i in own.get_vocab().items() if t.endswith(suffix)]] = True
+
         def encode_words(words: list[bytes]) -> list[list[int]]:
+            """Words of letters alone are encoded as one text: each is one run of tokens, up to
+            one that ends a word. All others go one by one."""
             texts = [w.decode("utf-8", "replace") for w in words]
-            return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _ENCODERS[path] = WordEncoder(encode_words)
+            out: list = [None] * len(texts)
+            plain = [k for k, t in enumerate(texts) if t.isalpha() and "\u0130" not in t]
+            joined = own.encode_batch_fast([" ".join([texts[k] for k in plain])],
+                                           add_special_tokens=False)[0].ids
+            ends = (np.nonzero(last[joined])[0] + 1).tolist() if joined else []
+            if len(ends) == len(plain):
+                for k, a, b in zip(plain, [0, *ends], ends):
+                    out[k] = joined[a:b]
+            rest = [k for k, ids in enumerate(out) if ids is None]
+            for k, e in zip(rest, own.encode_batch_fast([texts[k] for k in rest],
+                                                        add_special_tokens=False)):
+                out[k] = e.ids
+            return out
+
+        _ENCODERS[path] = WordEncoder(encode_words, preparation(path))
     return _ENCODERS[path]
 
 
