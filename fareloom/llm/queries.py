@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom.llm import (
-    bpe, brown, exact_dedup, outliers, packing, quality_fm, suffix_dedup, surrogates)
+    bpe, brown, exact_dedup, lsh_forest, outliers, packing, quality_fm, suffix_dedup, surrogates)
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
@@ -40,6 +40,10 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "score", "predicted")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(documents(spark, folder), size=3, share=85)
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, folder), tokenizer_path()).select(
         "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -80,5 +84,5 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_suffix_dedup, op3_quality_classifier, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
+        op1_suffix_dedup, op3_quality_classifier, op4_near_dedup, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
         op9_surrogates, op10_exact_dedup)}
