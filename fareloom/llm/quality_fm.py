@@ -49,14 +49,15 @@ def _shares() -> dict[str, Column]:
     }
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, the words, the statistics ``s_...`` and their bins as strings."""
-    names = {c.lower(): c for c in docs.columns}
-    declared = F.col(names["n_chars"]) if "n_chars" in names else F.lit(None)
-    base = docs.select("doc_id", text_of(text).alias("_text"), declared.alias("_n_chars")).select(
-        "*", words_of(F.lower(F.col("_text"))).alias("_words"))
+def features(docs: DataFrame, text: str = "text", carry: Column | None = None) -> DataFrame:
+    """doc_id, the words, the statistics ``s_...`` and their bins as strings; ``carry`` as _row."""
+    declared = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    row = (F.lit(None).cast("string") if carry is None else carry).alias("_row")
+    base = docs.select("doc_id", text_of(text).alias("_text"), declared.alias("_n_chars"),
+                       row).select("*", words_of(F.lower(F.col("_text"))).alias("_words"))
     shares = _shares()
-    base = base.select("doc_id", "_words", *[c.alias(f"s_{n}") for n, c in shares.items()])
+    base = base.select("doc_id", "_row", "_words",
+                       *[c.alias(f"s_{n}") for n, c in shares.items()])
     # Roots spread the small shares, where most of the difference lies, over the bins.
     bins = F.array(*[F.concat(F.lit(f"{n}="), F.floor(F.sqrt(F.col(f"s_{n}")) * 16).cast("string"))
                      for n in shares])
@@ -93,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, rank: int
                           < int(share * (1 << 20)))
     # About ``sample_rows`` rows of two numbers, whatever the input.
     chosen = features(docs.join(F.broadcast(sample), "doc_id", "left_semi"), text)
-    rows = written(chosen.join(F.broadcast(sample), "doc_id").repartition(TASKS, "doc_id"),
+    rows = written(chosen.drop("_row").join(F.broadcast(sample), "doc_id").repartition(TASKS, "doc_id"),
                    "quality-training")
     machine = FMClassifier(
         featuresCol="features", labelCol="label", factorSize=rank, maxIter=iterations,
@@ -115,3 +116,15 @@ def score(docs: DataFrame, model, text: str = "text", threshold: float = 0.7) ->
         scored = model.transform(features(docs, text)).select(
             "doc_id", vector_to_array("probability")[1].alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def without_rejected(docs: DataFrame, model, text: str = "text",
+                     threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with its columns."""
+    if isinstance(model, float):
+        return docs.where(F.lit(model >= threshold))
+    names = docs.columns
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    kept = model.transform(features(docs, text, row)).where(
+        vector_to_array("probability")[1] >= threshold)
+    return kept.select(*[F.col(f"_row.c{i}").alias(n) for i, n in enumerate(names)])
