@@ -163,7 +163,8 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, words: int, classes: int,
             table[old, :] -= out
             table[:, old] -= into
             table[old, old] -= self_pairs
-            rows, columns = table.sum(axis=1), table.sum(axis=0)
+            # Whatever its class, the word adds to the rows before it and the columns behind.
+            rows, columns = table.sum(axis=1) + into, table.sum(axis=0) + out
             gain = (f(table + out[None, :]) - f(table)).sum(axis=1)
             gain += (f(table + into[:, None]) - f(table)).sum(axis=0)
             diagonal = np.diagonal(table)
