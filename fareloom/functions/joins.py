@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SMALL_ROWS = 100_000
+from fareloom.session import written
 
 
 def left_join_small(df: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
-    """Left join that spares ``df`` the shuffle when ``small`` has at most 100,000 rows.
+    """Left join that spares ``df`` the shuffle when ``small`` turns out to be small.
 
-    The rows are counted (a job of its own, cut off at the limit) because Spark estimates an
-    aggregate at the size of its input and would shuffle the large side. Beyond the limit it is
-    an ordinary shuffle join.
+    ``small`` is computed once and written. Spark estimates an aggregate at the size of its input;
+    of a written table it knows the size, and broadcasts it only below its own threshold.
     """
-    fits = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return df.join(F.broadcast(small) if fits else small, on, "left")
+    return df.join(written(small, "small-side"), on, "left")

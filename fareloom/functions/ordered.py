@@ -2,7 +2,7 @@
 
 ``sums_before`` answers, for many probes at once, "what do the points below this code add up
 to?". A single running window would put a whole group (or, without keys, the whole table) in one
-task. Here the code is cut into 20-bit digits: a window only ever orders the at most 1,048,576
+task. Here the code is cut into 22-bit digits: a window only ever orders the at most 4,194,304
 distinct digits that share all higher digits, and the digits' sums are added up by a join.
 Distribution statistics, rank comparisons and band joins are all built on it.
 """
@@ -13,46 +13,47 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DIGIT_BITS = 20
+from fareloom.session import written
+
+DIGIT_BITS = 22
+#: Digits that 64-bit codes are cut into.
+LEVELS = 3
 MICRO = 1_000_000
+_MANTISSA = float(1 << 52)
 
 
 def micro(c: Column) -> Column:
-    """Order-preserving integer code of a number, with a resolution of 1e-6."""
+    """Integer code of a number, with a resolution of 1e-6."""
     return F.rint(c * F.lit(float(MICRO))).cast("bigint")
 
 
-def from_micro(code: Column) -> Column:
-    return code.cast("double") / F.lit(float(MICRO))
-
-
-def first_code_at_least(bound: Column) -> Column:
-    """Smallest code whose number is >= bound, compared as doubles."""
-    near = micro(bound)
-    return (
-        F.when(from_micro(near - 1) >= bound, near - 1)
-        .when(from_micro(near) >= bound, near)
-        .otherwise(near + 1)
-    )
+def order_code(c: Column) -> Column:
+    """An integer for each double, in the order of the doubles and different for different ones.
 
-
-def first_code_above(bound: Column) -> Column:
-    """Smallest code whose number is > bound, compared as doubles."""
-    near = micro(bound)
-    return (
-        F.when(from_micro(near - 1) > bound, near - 1)
-        .when(from_micro(near) > bound, near)
-        .otherwise(near + 1)
-    )
+    Exponent and mantissa of the absolute value, put together; scaling by powers of two is exact.
+    """
+    x = F.abs(c.cast("double"))
+    near = F.floor(F.log2(x))
+    power = near + F.when(x < F.pow(F.lit(2.0), near), -1).when(
+        x >= F.pow(F.lit(2.0), near + 1), 1).otherwise(0)
+    # Two steps each, as 2**1074 and 2**-1074 are no doubles to multiply by.
+    tiny = (x * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
+    half = F.floor(power / 2)
+    fraction = x / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half)
+    usual = (power.cast("bigint") + 1023) * F.lit(1 << 52) + (
+        (fraction - 1) * F.lit(_MANTISSA)).cast("bigint")
+    code = F.when(x < F.lit(2.0 ** -1022), tiny).when(
+        x == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(usual)
+    return F.when(c < 0, -code).otherwise(code)
 
 
 def sums_before(points: DataFrame, probes: DataFrame, code: str, measures: Sequence[str],
-                keys: Sequence[str] = (), levels: int = 2) -> DataFrame:
+                keys: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
     """One row per distinct probe ``(*keys, code)``: ``before_<m>`` is the sum of measure m over
     the points of the same keys with a smaller code.
 
-    Keys and codes must not be NULL. ``levels`` digits are cut off; the top one keeps all higher
-    bits, so two levels serve codes up to 2**40; more levels serve larger ones.
+    Keys and codes must not be NULL. ``levels`` digits are cut off, the top one keeping all higher
+    bits; by default they hold any 64-bit code.
     """
     keys = list(keys)
     place = [*keys, "tier", "block", "digits"]
@@ -85,17 +86,17 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequen
               weight: Column | None = None) -> DataFrame:
     """Rows ``metric, n, q``: exact quantiles of each value, interpolated between ranks.
 
-    Values less than 1e-6 apart are not told apart. A weight counts a row as that many rows. NULL
-    values are left out; a metric without any value has no row.
+    A weight counts a row as that many rows. NULL values are left out; a metric without any value
+    has no row. The distinct values are read several times and written once.
     """
-    cells = df.select(
+    cells = written(df.select(
         (weight if weight is not None else F.lit(1)).cast("bigint").alias("w"),
         F.inline(F.array(*[
             F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
             for name, value in values.items()
         ])),
-    ).where("value IS NOT NULL").groupBy("metric", micro(F.col("value")).alias("code")).agg(
-        F.sum("w").alias("w"), F.max("value").alias("value"))
+    ).where("value IS NOT NULL").groupBy("metric", order_code(F.col("value")).alias("code")).agg(
+        F.sum("w").alias("w"), F.max("value").alias("value")), "quantile-cells")
     # One row per metric, and the metrics are named in the call: small for sure.
     totals = F.broadcast(cells.groupBy("metric").agg(F.sum("w").alias("n")))
     ranked = (

@@ -4,7 +4,7 @@ A booking is similar to another if duration and distance both lie within +-20 %.
 per booking is a count and a mean over all similar auctions, that is, a sum over a rectangle of
 (duration, distance). Sums over rectangles do not need the pairs:
 
-* durations are numbered by rank and every point is added to one node per power of two of its
+* durations and distances are numbered by rank, and every point is added to one node per power of two of its
   rank (a node covers 2**level neighbouring ranks);
 * a band of durations is the union of at most two nodes per level;
 * inside a node the band of distances is a difference of two prefix sums (``sums_before``).
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fareloom.functions.exact import dec, ratio
 from fareloom.functions.keys import collapse, key_names, null_key
-from fareloom.functions.ordered import (
-    first_code_above, first_code_at_least, micro, sums_before)
+from fareloom.functions.ordered import order_code, sums_before
 from fareloom.operators.auctions import PRICE
 from fareloom.session import written
 
@@ -36,8 +35,8 @@ def _band(column: str, tolerance: float) -> dict[str, Column]:
     """
     c = F.col(column)
     return {
-        f"{column}_from": first_code_at_least(c * F.lit(1 - tolerance)),
-        f"{column}_to": first_code_above(c * F.lit(1 + tolerance)),
+        f"{column}_from": order_code(c * F.lit(1 - tolerance)),
+        f"{column}_to": order_code(c * F.lit(1 + tolerance)) + 1,
     }
 
 
@@ -82,15 +81,18 @@ def similar_auctions(bookings: DataFrame, auctions: DataFrame, tolerance: float
 
 
 def auction_points(history: DataFrame, auctions: DataFrame) -> DataFrame:
-    """Auction counts and price sums per distinct duration and distance of past bookings."""
-    # An auction counts once however many bookings carry its id.
-    shape = F.struct("booked_duration", "booked_distance")
+    """Auction counts and price sums of past bookings, by exact duration and distance.
+
+    An auction counts once however many bookings carry its id. Ids with one (duration, distance)
+    are summed over it; the few with several keep a row for each, with the id as ``repeated``.
+    """
     shapes = history.dropna(subset=["booked_duration", "booked_distance"]).groupBy(
-        *null_key(history, "booking_uuid")).agg(F.min(shape).alias("shape"))
-    return _summed(
-        _price_sums(auctions).join(shapes, BOOKING),
-        micro(F.col("shape.booked_duration")).alias("duration_code"),
-        micro(F.col("shape.booked_distance")).alias("distance_code"))
+        *null_key(history, "booking_uuid"), "booked_duration", "booked_distance").agg(
+        F.count("*").alias("bookings"))
+    kinds = shapes.groupBy(*BOOKING).agg(F.count("*").alias("shapes"))
+    priced = _price_sums(auctions).join(kinds, BOOKING)
+    repeated = F.when(F.col("shapes") > 1, F.struct(*BOOKING)).alias("repeated")
+    return _summed(priced.join(shapes, BOOKING), "booked_duration", "booked_distance", repeated)
 
 
 def with_similar_auctions(bookings: DataFrame, points: DataFrame, tolerance: float = TOLERANCE,
@@ -102,9 +104,11 @@ def with_similar_auctions(bookings: DataFrame, points: DataFrame, tolerance: flo
     ``points`` (``auction_points``) are read several times and should be a written table.
     """
     queries = bookings.select("booked_duration", "booked_distance").dropna().distinct()
-    out = bookings.join(
-        band_sums(points, queries, tolerance, folder), ["booked_duration", "booked_distance"],
-        "left")
+    sums = _summed(
+        band_sums(points.where("repeated IS NULL"), queries, tolerance, folder).unionByName(
+            _repeated_sums(points.where("repeated IS NOT NULL"), queries, tolerance)),
+        "booked_duration", "booked_distance")
+    out = bookings.join(sums, ["booked_duration", "booked_distance"], "left")
     return _matched(out if without is None else _without_own(out, _price_sums(without)))
 
 
@@ -119,33 +123,72 @@ def _without_own(out: DataFrame, own: DataFrame) -> DataFrame:
     }).drop(*BOOKING, *[f"own_{m}" for m in MEASURES])
 
 
+def _repeated_sums(points: DataFrame, queries: DataFrame, tolerance: float) -> DataFrame:
+    """Sums over the ids with several shapes of which any lies in the band, each id once.
+
+    Which ids a band holds can't be told from sums, so these few ids are matched: on logarithmic
+    cells of both sides, of which a band touches at most three, then on the numbers themselves.
+    """
+    sides = ("booked_duration", "booked_distance")
+
+    def cell(c: Column) -> Column:
+        steps = F.floor(F.log(c) / F.log(F.lit((1 + tolerance) / (1 - tolerance))))
+        return F.when(c > 0, steps).otherwise(F.lit(-1 << 40))
+
+    def touched(c: str) -> Column:
+        return F.explode(F.sequence(cell(F.col(c) * F.lit(1 - tolerance)),
+                                    cell(F.col(c) * F.lit(1 + tolerance))))
+
+    asked = queries.where(" AND ".join(f"{c} >= 0" for c in sides))
+    for c in sides:
+        asked = asked.withColumn(f"{c}_cell", touched(c))
+    placed = points.select("repeated", *MEASURES, *[F.col(c).alias(f"past_{c}") for c in sides],
+                           *[cell(F.col(c)).alias(f"{c}_cell") for c in sides])
+    within = [F.col(f"past_{c}").between(F.col(c) * F.lit(1 - tolerance),
+                                         F.col(c) * F.lit(1 + tolerance)) for c in sides]
+    matched = asked.join(placed, [f"{c}_cell" for c in sides]).where(within[0] & within[1])
+    once = matched.groupBy(*sides, "repeated").agg(*[F.max(m).alias(m) for m in MEASURES])
+    return once.groupBy(*sides).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANCE,
               folder: str | None = None) -> DataFrame:
     """Sums of the points in the band of each (booked_duration, booked_distance) query.
 
     Bands and ranks feed several branches, so they are written out once.
     """
+    points = points.select(order_code(F.col("booked_duration")).alias("duration_code"),
+                           order_code(F.col("booked_distance")).alias("distance_code"), *MEASURES)
     ranged = written(queries.withColumns(
         {**_band("booked_duration", tolerance), **_band("booked_distance", tolerance)}
     ).where("booked_duration_from < booked_duration_to "
             "AND booked_distance_from < booked_distance_to"), "bands", folder)
-    known = points.select("duration_code").distinct().withColumn("one", F.lit(1).cast("bigint"))
-    asked = points.select(F.col("duration_code").alias("code")).union(
-        ranged.select("booked_duration_from")).union(ranged.select("booked_duration_to"))
-    ranks = written(sums_before(
-        known.withColumnRenamed("duration_code", "code"), asked, "code", ["one"]
-    ).select("code", F.col("before_one").alias("rank")), "band-ranks", folder)
+
+    def rank_table(side: str) -> DataFrame:
+        """How many distinct codes of the points lie below each code that is asked for."""
+        known = points.select(F.col(f"{side}_code").alias("code")).distinct().withColumn(
+            "one", F.lit(1).cast("bigint"))
+        asked = points.select(F.col(f"{side}_code").alias("code")).union(
+            ranged.select(f"booked_{side}_from")).union(ranged.select(f"booked_{side}_to"))
+        return written(sums_before(known, asked, "code", ["one"]).select(
+            "code", F.col("before_one").alias("rank")), f"band-{side}-ranks", folder)
+
+    ranks, places = rank_table("duration"), rank_table("distance")
+    known = points.select("duration_code").distinct()
     top = known.agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("levels"))
 
-    def ranked(df: DataFrame, code: str, rank: str) -> DataFrame:
-        return df.join(ranks.toDF(code, rank), code)
+    def ranked(df: DataFrame, code: str, rank: str, table: DataFrame) -> DataFrame:
+        return df.join(table.toDF(code, rank), code)
 
     tree = _summed(
-        ranked(points, "duration_code", "rank").withColumn(
-            "level", F.explode(F.sequence(F.lit(0), top.scalar()))),
-        "level", F.expr("shiftright(rank, level)").alias("node"), "distance_code")
+        ranked(ranked(points, "duration_code", "rank", ranks), "distance_code", "place", places)
+        .withColumn("level", F.explode(F.sequence(F.lit(0), top.scalar()))),
+        "level", F.expr("shiftright(rank, level)").alias("node"), "place")
+    cover = ranked(ranked(ranged, "booked_distance_from", "p_from", places),
+                   "booked_distance_to", "p_to", places).where("p_from < p_to")
     cover = (
-        ranked(ranked(ranged, "booked_duration_from", "r_from"), "booked_duration_to", "r_to")
+        ranked(ranked(cover, "booked_duration_from", "r_from", ranks),
+               "booked_duration_to", "r_to", ranks)
         .where("r_from < r_to")
         .withColumn("level", F.explode(F.sequence(F.lit(0), top.scalar())))
         # The whole nodes of this level inside [r_from, r_to): those a coarser level does not take.
@@ -158,12 +201,11 @@ def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANC
     )
     ends = cover.select(
         "booked_duration", "booked_distance", "level", "node", F.inline(F.array(
-            F.struct(F.col("booked_distance_from").alias("distance_code"),
-                     F.lit(-1).alias("sign")),
-            F.struct(F.col("booked_distance_to").alias("distance_code"),
-                     F.lit(1).alias("sign")))))
-    prefix = sums_before(tree, ends, "distance_code", MEASURES, ["level", "node"])
-    return ends.join(prefix, ["level", "node", "distance_code"]).groupBy(
+            F.struct(F.col("p_from").alias("place"), F.lit(-1).alias("sign")),
+            F.struct(F.col("p_to").alias("place"), F.lit(1).alias("sign")))))
+    # Places are numbers of distinct distances: two digits hold 2**44 of them.
+    prefix = sums_before(tree, ends, "place", MEASURES, ["level", "node"], levels=2)
+    return ends.join(prefix, ["level", "node", "place"]).groupBy(
         "booked_duration", "booked_distance"
     ).agg(*[F.sum(F.col("sign") * F.col(f"before_{m}")).alias(m) for m in MEASURES])
 
@@ -177,7 +219,7 @@ def similar_auctions_1d(bookings: DataFrame, auctions: DataFrame,
 def with_similar_auctions_1d(bookings: DataFrame, auctions: DataFrame,
                              tolerance: float = TOLERANCE) -> DataFrame:
     points = auctions.dropna(subset=["booked_duration"]).groupBy(
-        micro(F.col("booked_duration")).alias("code")
+        order_code(F.col("booked_duration")).alias("code")
     ).agg(F.count("*").alias("n"), F.count(PRICE).alias("n_price"),
           F.coalesce(F.sum(dec(PRICE)), F.lit(0)).alias("sum_price"))
     ends = bookings.select("booked_duration").dropna().distinct().withColumns(

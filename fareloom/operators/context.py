@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fareloom.functions.exact import ratio
 from fareloom.functions.joins import left_join_small
+from fareloom.functions.keys import key_names, null_key
 from fareloom.functions.scalars import weekday_name
 from fareloom.functions.stats import correlation, numeric_columns
 from fareloom.operators.auctions import PRICE, weighted_mean, repeated, keyed_auctions, timed_auctions
@@ -80,11 +81,12 @@ def price_event_vs_regular(bookings: DataFrame, auctions: DataFrame, weather: Da
 def temperature_price_points(bookings: DataFrame, auctions: DataFrame, weather: DataFrame | None,
                          calendar: DataFrame | None = None) -> DataFrame:
     """Points of the temperature-price scatter, ``n`` auctions each."""
-    priced = auctions.dropna(subset=[PRICE]).groupBy("booking_uuid", PRICE).agg(
-        F.count("*").alias("n"))
+    priced = auctions.dropna(subset=[PRICE]).groupBy(
+        *null_key(auctions, "booking_uuid"), PRICE).agg(F.count("*").alias("n"))
     dated = bookings.dropna(subset=["booked_start_at"]).groupBy(
-        "booking_uuid", F.to_date(START).alias("date")).agg(F.count("*").alias("repeats"))
-    daily = priced.join(dated, "booking_uuid").groupBy("date", PRICE).agg(
+        *null_key(bookings, "booking_uuid"), F.to_date(START).alias("date")).agg(
+        F.count("*").alias("repeats"))
+    daily = priced.join(dated, key_names("booking_uuid")).groupBy("date", PRICE).agg(
         F.sum(F.col("n") * F.col("repeats")).alias("n"))
     return _with_calendar(_with_weather(daily, weather), calendar).dropna(
         subset=["temperature"]).groupBy("temperature", PRICE).agg(F.sum("n").alias("n"))
@@ -98,7 +100,9 @@ def merged_context(bookings: DataFrame, auctions: DataFrame, weather: DataFrame
                    calendar: DataFrame | None) -> DataFrame:
     """Auctioned bookings with the weather and the events of their day, one row per combination."""
     shared = set(bookings.columns) & set(auctions.columns) - {"booking_uuid"}
-    merged = bookings.join(auctions.drop(*shared), "booking_uuid").withColumns({
+    merged = bookings.select("*", *null_key(bookings, "booking_uuid")).join(
+        auctions.select("*", *null_key(auctions, "booking_uuid")).drop("booking_uuid", *shared),
+        key_names("booking_uuid")).drop(*key_names("booking_uuid")).withColumns({
         "hour_of_day": F.hour(START), "date": F.to_date(START)})
     if weather is not None:
         merged = left_join_small(merged, weather, "date")

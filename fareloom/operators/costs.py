@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fareloom.functions.exact import dec, half_even, mean, product_total, ratio, std
 from fareloom.functions.keys import collapse, key_names, null_key, restore_key
-from fareloom.functions.ordered import MICRO, from_micro, micro, quantile_row, sums_before
+from fareloom.functions.ordered import MICRO, micro, quantile_row, sums_before
 from fareloom.functions.scalars import duration_divisor
 from fareloom.functions.stats import on_bins
 from fareloom.operators.auctions import PAIRS, PRICE, rates_per_chauffeur
@@ -64,9 +64,23 @@ def _trip_cells(bookings: DataFrame, auctions: DataFrame, *more: str) -> DataFra
         "trip-cells")
 
 
+def _with_chauffeur(cells: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """``cells`` with what ``known`` holds of their chauffeur, of whom it has one row each.
+
+    Cells of a missing chauffeur, who may have most of them, meet that one row as a broadcast and
+    are not shuffled. ``known`` is a written table, so that the join of the others can be split
+    where one chauffeur has very many.
+    """
+    absent = F.col(CHAUFFEUR[1])
+    present = cells.where(~absent).join(known.where(~absent), CHAUFFEUR, how)
+    # One row at most: ``known`` is grouped by the chauffeur.
+    missing = cells.where(absent).join(F.broadcast(known.where(absent)), CHAUFFEUR, how)
+    return present.unionByName(missing)
+
+
 def _difference_sums(cells: DataFrame, shifts: DataFrame, divisor: int) -> DataFrame:
     """Per trip cell: joined rows, known differences, and their exact sum times ``divisor``."""
-    joined = cells.join(rates_per_chauffeur(shifts), CHAUFFEUR, "left")
+    joined = _with_chauffeur(cells, written(rates_per_chauffeur(shifts), "chauffeurs"), "left")
     copies = F.col("copies").cast(PAIRS)
     known = F.col(PRICE).isNotNull() & F.col("booked_duration").isNotNull()
     n_diff = F.when(known, copies * F.coalesce(F.col("n_rate"), F.lit(0))).otherwise(F.lit(0))
@@ -124,7 +138,8 @@ def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shi
     """Mean difference in right-closed quantile bins of the booked duration.
 
     The quantiles are over the joined rows. Equal edges merge, a bin nothing falls into has a
-    NULL mean, and a constant duration has no bins (see ``cost_diff_summary``).
+    NULL mean, and a constant duration has no bins: ``cost_diff_by_duration`` then gives the
+    summary.
     """
     divisor = duration_divisor(duration_unit)
     by_duration = written(_difference_sums(_trips(bookings, auctions), shifts, divisor).dropna(
@@ -151,15 +166,23 @@ def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shi
     return axis.join(binned, "bin", "left")
 
 
+def cost_diff_by_duration(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
+                          bins: int = 5, duration_unit: str = "h") -> DataFrame:
+    """The report by duration: quantile bins, or the summary where no two durations differ."""
+    binned = cost_diff_by_duration_quantile(bookings, auctions, shifts, bins, duration_unit)
+    return cost_diff_summary(bookings, auctions, shifts, duration_unit) if binned.isEmpty() \
+        else binned
+
+
 def cost_diff_summary(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
                       duration_unit: str = "h") -> DataFrame:
     """Eight-number summary of the differences over all joined rows."""
     costs = booking_costs(bookings, auctions, shifts, duration_unit).dropna(subset=["cost_diff"])
-    cells = costs.groupBy(micro(F.col("cost_diff")).alias("code")).agg(
-        F.sum(F.col("copies").cast("decimal(20,0)")).alias("n"))
-    x = from_micro(F.col("code"))
+    cells = written(costs.groupBy("cost_diff").agg(
+        F.sum(F.col("copies").cast("decimal(20,0)")).alias("n")), "differences")
+    x = F.col("cost_diff")
     centred = cells.withColumn("mean", cells.agg(
-        ratio(from_micro(F.sum(F.col("code") * F.col("n"))), F.sum("n"))).scalar())
+        ratio(F.sum(dec(x) * F.col("n").cast("decimal(18,0)")), F.sum("n"))).scalar())
     moments = centred.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count"),
         F.max("mean").alias("mean"),
@@ -197,8 +220,9 @@ def _rate_tables(shifts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rates = written(known.groupBy(
         *null_key(known, "chauffeur_uuid"), micro(F.col(RATE)).alias("code")
     ).agg(F.count("*").alias("n")), "rates")
-    limits = rates.groupBy(*CHAUFFEUR).agg(
-        F.min("code").alias("low"), F.max("code").alias("high"), F.sum("n").alias("n_rate"))
+    limits = written(rates.groupBy(*CHAUFFEUR).agg(
+        F.min("code").alias("low"), F.max("code").alias("high"), F.sum("n").alias("n_rate")),
+        "rate-limits")
     return rates, limits
 
 
@@ -230,7 +254,7 @@ def _at_least(cells: DataFrame, rates: DataFrame, limits: DataFrame) -> DataFram
 
     Rows ``id, copies, all_copies``. Only edges that separate a chauffeur's rates are looked up.
     """
-    long = cells.join(limits, CHAUFFEUR).select(
+    long = _with_chauffeur(cells, limits).select(
         *CHAUFFEUR, "base", "slope", "copies", "low", "high", "n_rate",
         F.inline("edges")).withColumn("steep", F.abs("slope"))
     gap = F.when(F.col("slope") > 0, F.col("edge") - F.col("base")).otherwise(
@@ -258,7 +282,7 @@ def _at_least(cells: DataFrame, rates: DataFrame, limits: DataFrame) -> DataFram
 
 def _value_range(cells: DataFrame, limits: DataFrame) -> DataFrame:
     at = [F.col("base") + F.col("slope") * F.col(c).cast(WIDE) for c in ("low", "high")]
-    return cells.join(limits, CHAUFFEUR).select(
+    return _with_chauffeur(cells, limits).select(
         "*", F.least(*at).alias("value_low"), F.greatest(*at).alias("value_high"))
 
 

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from fareloom.functions.exact import half_even, mean, std
+from fareloom.functions.keys import key_names, null_key
 from fareloom.functions.scalars import grid_cell
 from fareloom.operators.auctions import PRICE, weighted_mean, repeated, keyed_auctions
 from fareloom.sources.schema import require
@@ -15,10 +16,11 @@ COORDINATES = ("pickup_longitude", "pickup_latitude", "dropoff_longitude", "drop
 
 
 def auctioned(bookings: DataFrame, auctions: DataFrame) -> DataFrame:
-    """Coordinates and price of every auctioned booking."""
+    """Coordinates and price of every auctioned booking; missing ids match each other."""
     require(bookings, *COORDINATES)
-    return bookings.select("booking_uuid", *COORDINATES).join(
-        auctions.select("booking_uuid", PRICE), "booking_uuid")
+    return bookings.select("booking_uuid", *COORDINATES, *null_key(bookings, "booking_uuid")).join(
+        auctions.select(PRICE, *null_key(auctions, "booking_uuid")), key_names("booking_uuid")
+    ).drop(*key_names("booking_uuid"))
 
 
 def with_grid(df: DataFrame, size: float = 0.01) -> DataFrame:

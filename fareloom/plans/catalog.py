@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fareloom.functions.keys import key_names, null_key
 from fareloom.functions.stats import box_summary, describe, histogram
 from fareloom.operators import (
     auctions as A, balance as B, band, cleaning, context, costs, decision, demand as D, geo,
@@ -48,8 +49,10 @@ def _describe_daily(m: DerivedMarketplace) -> DataFrame:
 
 def _own_duration(m: DerivedMarketplace) -> DataFrame:
     """Auctions that carry the duration of their booking."""
-    return m.auctions.join(m.bookings.select("booking_uuid", "booked_duration"),
-                           "booking_uuid", "left")
+    key = key_names("booking_uuid")
+    return m.auctions.select("*", *null_key(m.auctions, "booking_uuid")).join(
+        m.bookings.select("booked_duration", *null_key(m.bookings, "booking_uuid")), key, "left"
+    ).drop(*key)
 
 
 def _training(m: DerivedMarketplace) -> DataFrame:

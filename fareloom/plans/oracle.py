@@ -675,9 +675,7 @@ QUERIES = {
             AND booked_duration <= hi
         GROUP BY bin.i, bin.lo, bin.hi""",
     "cost_diff_summary": f"""
-        WITH d AS MATERIALIZED (SELECT CAST(CAST(round_even(({P} - cost) * 1000000, 0) AS BIGINT) AS DOUBLE)
-                                           / CAST(1000000 AS DOUBLE) AS v
-                                FROM ({COSTS.format(divisor=3600)}))
+        WITH d AS MATERIALIZED (SELECT {P} - cost AS v FROM ({COSTS.format(divisor=3600)}))
         SELECT count(v) AS count, CAST(sum(CAST(v AS DECIMAL(18,6))) AS DOUBLE) / count(v) AS mean,
                {std('v')} AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25,
                quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max FROM d""",

@@ -6,7 +6,6 @@ on the session time zone. Durations are seconds.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -106,7 +105,3 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))
