@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from corpus_fixtures import corpus, make  # noqa: F401
 
 from fareloom.llm import exact_dedup, lsh_forest, suffix_dedup
 

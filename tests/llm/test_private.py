@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from corpus_fixtures import corpus, make  # noqa: F401
 
 from fareloom.llm import queries, surrogates
 from fareloom.session import written

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from corpus_fixtures import corpus, make  # noqa: F401
 
 from fareloom.llm import brown, outliers, quality_fm
 

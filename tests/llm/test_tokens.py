@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from corpus_fixtures import corpus, make  # noqa: F401
 
 from fareloom.llm import bpe, packing
 
