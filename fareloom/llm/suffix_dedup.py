@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
             "binary").alias("mask"), "at"))
 
     # Entries for the blocks, and what the slice needs to read the answer.
-    out_schema = ("block int, slice long, strings binary, lengths binary, ranks binary, "
+    out_schema = ("block int, slice long, strings binary, lengths binary, ranks binary, hashes binary, "
                   "places binary, body binary, ids array<long>, sizes array<long>, "
                   "digests array<binary>, whole array<boolean>")
     out_arrow = to_arrow_schema(T._parse_datatype_string(out_schema))
@@ -332,6 +332,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
             entry[k] = e
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, entry, ids[text])
+        of_entry = np.zeros(len(strings), np.uint64)
+        of_entry[entry] = distinct[number]
         of_block = np.zeros(len(strings), np.int64)
         of_block[entry] = np.searchsorted(edges, number, side="right") - 1
         order = np.argsort(of_block, kind="stable")
@@ -344,7 +346,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
             if own:
                 rows.append((b, row["slice"], _pressed(b"".join([strings[e] for e in own])),
                              _pressed(np.array([len(strings[e]) for e in own], np.uint8)),
-                             _pressed(least[own]), *[None] * 6))
+                             _pressed(least[own]), _planes(of_entry[own], 6), *[None] * 6))
         # Texts that may lose something, and where each of their runs is looked up.
         suspect = np.zeros(len(sizes), bool)
         suspect[text] = True
@@ -352,7 +354,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
         kept = np.nonzero(suspect)[0].tolist()
         smaller = ids[text] > least[entry]
         places = np.stack([text, begin - starts[text], count, place[entry], smaller], axis=1)
-        rows.append((None, row["slice"], None, None, None, _pressed(places.astype("<i4")),
+        rows.append((None, row["slice"], None, None, None, None, _pressed(places.astype("<i4")),
                      _pressed(b"".join([body[starts[t]:starts[t] + sizes[t]] for t in kept])),
                      row["ids"], row["sizes"], row["digests"], copy.tolist()))
         return pa.Table.from_batches([_record(out_arrow, rows)])
@@ -367,18 +369,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
                 batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         best: list[int] = []
+        suffix: list[int] = []  # the sampled suffix of each string
+        strings_of: dict[int, int] = {}
         rows = []
         for row in _rows(batches):
+            hashes = _from_planes(row["hashes"], 6).tolist()
             joined = _freed(row["strings"])
             ends = np.cumsum(np.frombuffer(_freed(row["lengths"]), np.uint8).astype(np.int64))
             ranks = np.frombuffer(_freed(row["ranks"]), np.int64)
             numbers = np.empty(len(ends), np.int64)
-            for k, (a, b, rank) in enumerate(zip(
-                    [0, *ends.tolist()], ends.tolist(), ranks.tolist())):
+            for k, (a, b, rank, h) in enumerate(zip(
+                    [0, *ends.tolist()], ends.tolist(), ranks.tolist(), hashes)):
                 s = joined[a:b]
                 if (e := known.get(s)) is None:
                     e = known[s] = len(best)
                     best.append(rank)
+                    suffix.append(h)
+                    strings_of[h] = strings_of.get(h, 0) + 1
                 elif rank < best[e]:
                     best[e] = rank
                 numbers[k] = e
@@ -391,6 +398,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
             while size < top:
                 s, e = next(todo)
                 size += 1
+                if strings_of[suffix[e]] == 1:
+                    continue  # whoever has one of its windows has all of it
                 tail, base = (best[e] + (1 << 63)).to_bytes(8, "big"), e * RUN
                 batch += [s[j:j + window] + tail + (base + j).to_bytes(6, "big")
                           for j in range(len(s) - window + 1)]
@@ -405,7 +414,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 50) -> Dat
             yield _record(mark_arrow, [(key[0].as_py(), slice_, _pressed(out))])
 
     marks = written(parts.where("block is not null").select(
-        "block", "slice", "strings", "lengths", "ranks").groupBy("block").applyInArrow(
+        "block", "slice", "strings", "lengths", "ranks", "hashes").groupBy("block").applyInArrow(
         matched, mark_schema), "suffix-marks")
 
     result_schema = ("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, "
