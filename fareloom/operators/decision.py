@@ -9,7 +9,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fareloom.functions.exact import mean
-from fareloom.functions.joins import left_join_small
 from fareloom.functions.keys import collapse, key_names, null_key
 from fareloom.functions.scalars import duration_divisor
 from fareloom.operators.auctions import PRICE
@@ -31,8 +30,12 @@ def daily_supply(shifts: DataFrame) -> DataFrame:
 
 def with_supply(bookings: DataFrame, shifts: DataFrame) -> DataFrame:
     """Bookings with the shifts of their date; NULL where the date has none."""
-    dated = bookings.withColumn("date", F.to_date("booked_start_at"))
-    return left_join_small(dated, daily_supply(shifts), "date")
+    return beside_supply(bookings, written(daily_supply(shifts), "daily-supply"))
+
+
+def beside_supply(bookings: DataFrame, supply: DataFrame) -> DataFrame:
+    """Bookings with the row of their date in ``supply``, a written ``daily_supply``."""
+    return bookings.withColumn("date", F.to_date("booked_start_at")).join(supply, "date", "left")
 
 
 def available_shifts(bookings: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -143,9 +146,9 @@ def fit_model(training: DataFrame, trees: int = 100, depth: int = 8,
               seed: int = 42) -> PipelineModel:
     """Standardised features into a random forest. Unknown feature values count as 0.
 
-    Fitting passes over the training set several times, so it is written out first.
+    Fitting passes over the training set several times, so it should be a written table.
     """
-    complete = written(training.na.fill(0.0, subset=FEATURES), "training")
+    complete = training.na.fill(0.0, subset=FEATURES)
     return Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),

@@ -60,11 +60,11 @@ def _training(m: DerivedMarketplace) -> DataFrame:
 
 
 def _model(m: DerivedMarketplace):
-    return decision.fit_model(_training(m))
+    return decision.fit_model(written(_training(m), "training"))
 
 
 def _dispatch_model(m: DerivedMarketplace) -> DataFrame:
-    training = written(_training(m), "predictions")
+    training = written(_training(m), "training")
     return decision.model_predictions(training, decision.fit_model(training))
 
 

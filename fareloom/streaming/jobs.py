@@ -9,30 +9,40 @@ from pyspark.sql.streaming import StreamingQuery
 from fareloom.functions.exact import dec
 from fareloom.functions.joins import left_join_small
 from fareloom.operators.band import TOLERANCE, with_similar_auctions
-from fareloom.operators.decision import decide, with_costs, with_supply
+from fareloom.operators.decision import beside_supply, daily_supply, decide, with_costs
 from fareloom.operators.supply import supply_daily
+from fareloom.session import written
 
 
 def stream_decisions(bookings: DataFrame, points: DataFrame, shifts: DataFrame,
                      model: PipelineModel, out: str, checkpoint: str,
-                     duration_unit: str = "min", tolerance: float = TOLERANCE) -> StreamingQuery:
+                     duration_unit: str = "min", tolerance: float = TOLERANCE,
+                     trigger: dict | None = None) -> StreamingQuery:
     """Decide every micro-batch of an unbounded ``bookings`` stream.
 
+    ``trigger`` goes to the stream's writer: by default what is there is decided and the job
+    ends; ``{"processingTime": "10 seconds"}`` keeps deciding what comes in. The supply of each
+    day is summed once, when the job starts.
+
     ``points`` are the similar-auction points of the past (``auction_points``), read from a
     written table. Each batch goes to its own folder, written over on a retry, so that a batch
     replayed after a failure is not doubled.
     """
+    supply = written(daily_supply(shifts), "daily-supply")
+
     def decide_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        matched = with_similar_auctions(batch, points, tolerance, folder=f"{out}-work")
-        decisions = decide(with_costs(with_supply(matched, shifts), duration_unit), model)
-        decisions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            matched = with_similar_auctions(batch, points, tolerance, folder=f"{out}-work")
+            decisions = decide(with_costs(beside_supply(matched, supply), duration_unit), model)
+            decisions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         bookings.writeStream.foreachBatch(decide_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -63,7 +73,7 @@ def windowed_demand(bookings: DataFrame, window: str = "1 day",
 
 
 def stream_supply_demand(bookings: DataFrame, shifts: DataFrame, out: str,
-                         checkpoint: str) -> StreamingQuery:
+                         checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Closed days of demand with the supply of the day, appended to parquet."""
     daily = windowed_demand(bookings).withColumn("date", F.to_date("window_start"))
     supply = supply_daily(shifts).select(
@@ -75,7 +85,7 @@ def stream_supply_demand(bookings: DataFrame, shifts: DataFrame, out: str,
         joined.drop("window_start", "window_end")
         .writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
