@@ -129,8 +129,9 @@ def cost_diff_by_hour(bookings: DataFrame, auctions: DataFrame, shifts: DataFram
     divisor = duration_divisor(duration_unit)
     timed = bookings.dropna(subset=["booked_start_at"]).withColumn(
         "hour", F.hour("booked_start_at"))
-    trips = _trips(timed, auctions, F.col("hour"))
-    return _difference_sums(trips, shifts, divisor).groupBy("hour").agg(_mean_difference(divisor).alias("avg_cost_diff"))
+    trips = _trip_cells(timed, auctions, "hour")
+    return _difference_sums(trips, shifts, divisor).groupBy("hour").agg(
+        _mean_difference(divisor).alias("avg_cost_diff"))
 
 
 def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shifts: DataFrame,
@@ -142,7 +143,8 @@ def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shi
     summary.
     """
     divisor = duration_divisor(duration_unit)
-    by_duration = written(_difference_sums(_trips(bookings, auctions), shifts, divisor).dropna(
+    trips = _trip_cells(bookings, auctions)
+    by_duration = written(_difference_sums(trips, shifts, divisor).dropna(
         subset=["booked_duration"]
     ).groupBy("booked_duration").agg(
         F.sum("rows").alias("rows"), F.sum("n_diff").alias("n_diff"),
