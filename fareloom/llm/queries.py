@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom.llm import (
-    bpe, brown, exact_dedup, lsh_forest, outliers, packing, quality_fm, suffix_dedup, surrogates)
+    bpe, brown, exact_dedup, lsh_forest, outliers, packing, quality_fm, sharding,
+    suffix_dedup, surrogates)
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
 TOKENIZER = "word_bpe_49k.json"
 
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 4 << 20
 #: Stands in for the key that an owner of real data would keep.
 SURROGATE_KEY = "benchmark"
 
@@ -32,6 +35,11 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(documents(spark, folder), limit_bytes=SHARD_BYTES).select(
+        "doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality_fm.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -84,5 +92,5 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_suffix_dedup, op3_quality_classifier, op4_near_dedup, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
+        op1_suffix_dedup, op2_sharding, op3_quality_classifier, op4_near_dedup, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
         op9_surrogates, op10_exact_dedup)}
