@@ -13,8 +13,9 @@ from fareloom.session import written
 
 #: Hash buckets of the words and of the binned statistics.
 WORD_BUCKETS, BIN_BUCKETS = 1 << 13, 1 << 9
-#: Tasks of each iteration over the bounded sample.
-TASKS = 8
+#: Tasks of each iteration over the bounded sample; so few that their gradients need no further
+#: stage to be summed in.
+TASKS = 4
 
 
 def remainder(doc_id: str = "doc_id", modulus: int = 4) -> Column:
