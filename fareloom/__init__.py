@@ -1,7 +1,7 @@
 """fareloom: analytics for a two-sided ride marketplace, written on the Spark DataFrame API.
 
-Every operator takes DataFrames and returns a lazy DataFrame; nothing is collected to the
-driver, so an analysis can be written to a table, joined further or streamed from.
+Every operator takes DataFrames and returns a DataFrame, which can be written to a table, joined
+further or streamed from. Some write intermediate tables to the shared folder when they are called.
 """
 
 from fareloom.sources.marketplace import Marketplace

@@ -9,7 +9,7 @@ Distribution statistics, rank comparisons and band joins are all built on it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,19 +32,28 @@ def order_code(c: Column) -> Column:
 
     Exponent and mantissa of the absolute value, put together; scaling by powers of two is exact.
     """
-    x = F.abs(c.cast("double"))
-    near = F.floor(F.log2(x))
-    power = near + F.when(x < F.pow(F.lit(2.0), near), -1).when(
-        x >= F.pow(F.lit(2.0), near + 1), 1).otherwise(0)
-    # Two steps each, as 2**1074 and 2**-1074 are no doubles to multiply by.
-    tiny = (x * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
-    half = F.floor(power / 2)
-    fraction = x / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half)
-    usual = (power.cast("bigint") + 1023) * F.lit(1 << 52) + (
-        (fraction - 1) * F.lit(_MANTISSA)).cast("bigint")
-    code = F.when(x < F.lit(2.0 ** -1022), tiny).when(
-        x == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(usual)
-    return F.when(c < 0, -code).otherwise(code)
+    def power_of(x: Column, near: Column) -> Column:
+        return near + F.when(x < F.pow(F.lit(2.0), near), -1).when(
+            x >= F.pow(F.lit(2.0), near + 1), 1).otherwise(0)
+
+    def usual(x: Column, power: Column, half: Column) -> Column:
+        # Two steps, as 2**-1022 has no double for its inverse's square.
+        fraction = x / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half)
+        return (power + 1023) * F.lit(1 << 52) + ((fraction - 1) * F.lit(_MANTISSA)).cast("bigint")
+
+    def code(x: Column) -> Column:
+        tiny = (x * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
+        normal = _let(F.floor(F.log2(x)), lambda near: _let(
+            power_of(x, near), lambda power: usual(x, power, F.floor(power / 2))))
+        return F.when(x < F.lit(2.0 ** -1022), tiny).when(
+            x == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal)
+
+    return _let(F.abs(c.cast("double")), code) * F.when(c < 0, -1).otherwise(1)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def sums_before(points: DataFrame, probes: DataFrame, code: str, measures: Sequence[str],

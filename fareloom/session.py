@@ -32,12 +32,35 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """What the session names, or what was given to ``SparkContext.setCheckpointDir``.
+
+    The setting can't be changed in a running session; the context's folder can.
+    """
+    return spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors must all see."""
-    root = spark.conf.get(CHECKPOINT_SETTING, None)
+    root = checkpoint_root(spark)
     if not root:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    return f"{root.rstrip('/')}/fareloom/{purpose}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark, root)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession, root: str) -> str:
+    return f"{root.rstrip('/')}/fareloom/{spark.sparkContext.applicationId}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what this application has written with ``written`` and ``shared_folder``.
+
+    For when its reports are finished: DataFrames that read such tables can't be used afterwards.
+    """
+    root = checkpoint_root(spark)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, root))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from fareloom.session import CHECKPOINT_SETTING, build_session  # noqa: E402
+from fareloom.session import build_session, checkpoint_root  # noqa: E402
 
 TESTDATA = os.environ.get("FARELOOM_TESTDATA", "/root/testdata/sf0.001")
 
@@ -16,8 +16,8 @@ def spark(tmp_path_factory):
     session = build_session("local[8]", 4, app="tests", **{
         "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.python.sql.dataFrameDebugging.enabled": "false"})
-    if not session.conf.get(CHECKPOINT_SETTING, None):
-        session.conf.set(CHECKPOINT_SETTING, str(tmp_path_factory.mktemp("shared")))
+    if not checkpoint_root(session):
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

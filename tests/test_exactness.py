@@ -182,3 +182,19 @@ def test_what_holds_for_decisions(spark, queries):
               for r in queries["training_labels"](spark, TESTDATA).collect()}
     assert {r.booking_uuid: r.label for r in model} == labels
     assert all(0 <= r.p_shift <= 1 for r in model)
+
+
+def test_written_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    from fareloom import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: str(tmp_path))
+    assert session.written(spark.range(3), "numbers").count() == 3
+    folder = os.path.dirname(session.shared_folder(spark, "other"))
+    assert os.listdir(folder)
+    session.remove_written(spark)
+    assert not os.path.exists(folder)
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(spark, "none")
