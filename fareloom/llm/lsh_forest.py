@@ -18,6 +18,8 @@ from fareloom.session import written
 TREES, DEPTH = 32, 8
 #: A region of a tree with more sets than this is looked at one value deeper.
 CROWD = 32
+#: Sets of a region that meet those of another such run in one group of rows.
+BLOCK = 256
 #: Signs of the one-bit sketch, and how many of them must agree; at a similarity of 0.85, 118 do,
 #: with a deviation of 3.
 SKETCH, AGREEING = 128, 97
@@ -234,10 +236,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
     gives candidates: sets with a common prefix of ``least_depth`` values, or of one more where a
     region holds more than ``CROWD``. In each region every set is compared with the first and with its
     neighbour in the order; regions that the links found leave in several components have their
-    remaining pairs across components compared, regions still too large in runs of ``CROWD``.
+    remaining pairs across components compared, all of them, dealt by pairs of runs of ``BLOCK``.
     Sizes and one-bit sketches rule pairs out, and the full sets of 48-bit hashes confirm them.
-    Neither pairs of a group nor its members are gathered; a group of copies is one node, and a
-    large group of near copies is stars over 32 differently ordered trees.
+    Neither pairs of a group nor its members are gathered; a group of copies is one node, and what
+    a large group of near copies leaves for the second comparison is few sets against the rest.
+    Only sets of a region that no links join cost a comparison of sketches for each pair.
 
     A missing text, or one without words, has an empty set and is linked with nothing; shorter
     ones than ``size`` words have one shingle. Rows that repeat an id get the same component if
@@ -257,11 +260,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
         .withColumn("region", F.when(F.col("many") > CROWD, F.col("deeper")).otherwise(
             F.col("prefix")))
         .where((F.col("many") <= CROWD) | (F.col("fine") > 1))
-        .withColumns({"place": F.row_number().over(order),
-                      "me": F.struct("node", "n", "sketch")})
+        .withColumn("me", F.struct("node", "n", "sketch"))
         .withColumns({"lead": F.first("me").over(order), "last": F.lag("me").over(order)})
-        .select("tree", "region", F.floor((F.col("place") - 1) / CROWD).alias("run"), "me",
-                "lead", "last"), "forest-units")
+        .select("tree", "region", "me", "lead", "last"), "forest-units")
 
     def pairs(found: DataFrame, left: str, right: str) -> DataFrame:
         a, b = F.col(f"{left}.node"), F.col(f"{right}.node")
@@ -280,16 +281,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
 
     links = written(_confirmed(candidates, sets, share), "forest-links-1")
     roots = components(links, "forest-roots-1")
-    # Regions whose members are still apart: their pairs across components, in bounded runs.
-    rooted = units.select("tree", "region", "run", "me", F.col("me.node").alias("node")).join(
+    # Regions whose members are still apart: all their pairs across components, in blocks.
+    rooted = units.select("tree", "region", "me", F.col("me.node").alias("node")).join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("tree", "region", "run").agg(
+    apart = rooted.groupBy("tree", "region").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_ = written(rooted.join(apart.select("tree", "region", "run"),
-                                ["tree", "region", "run"]), "forest-open")
-    left = open_.select("tree", "region", "run", F.col("me").alias("x"), F.col("root").alias("rx"))
-    right = open_.select("tree", "region", "run", F.col("me").alias("y"), F.col("root").alias("ry"))
-    across = left.join(right, ["tree", "region", "run"]).where("x.node < y.node and rx <> ry")
+    by_root = Window.partitionBy("tree", "region").orderBy("root", "node")
+    open_ = written(rooted.join(apart.select("tree", "region"), ["tree", "region"]).withColumn(
+        "run", F.floor((F.row_number().over(by_root) - 1) / BLOCK)), "forest-open")
+    runs = written(open_.groupBy("tree", "region", "run").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")), "forest-runs")
+    # Roots are in order, so two runs are of one component if the ends are.
+    meets = written(
+        runs.select("tree", "region", F.col("run").alias("i"), "low").join(
+            runs.select("tree", "region", F.col("run").alias("j"), "high"), ["tree", "region"])
+        .where("i <= j and low <> high").select("tree", "region", "i", "j"), "forest-meets")
+    left = open_.select("tree", "region", F.col("run").alias("i"), F.col("me").alias("x"),
+                        F.col("root").alias("rx")).join(meets, ["tree", "region", "i"])
+    right = open_.select("tree", "region", F.col("run").alias("j"), F.col("me").alias("y"),
+                         F.col("root").alias("ry")).join(meets, ["tree", "region", "j"])
+    across = left.join(right, ["tree", "region", "i", "j"]).where(
+        "rx <> ry and (i < j or x.node < y.node)")
     more = pairs(across, "x", "y").distinct().join(candidates, ["a", "b"], "left_anti")
     later = written(_confirmed(written(more, "forest-candidates-2"), sets, share),
                     "forest-links-2")

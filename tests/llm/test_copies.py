@@ -87,6 +87,27 @@ def test_crowded_regions(make, corpus, monkeypatch):
     assert sorted(map(tuple, found)) == linked(rows, 3, 85)
 
 
+@pytest.mark.parametrize("block", [lsh_forest.BLOCK, 16])
+def test_variants_linked_with_their_base_only(make, monkeypatch, block):
+    """A star whose rays are not linked with each other, in regions far over CROWD."""
+    import random
+
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001 if block > 16 else 201):
+        words = list(base)
+        for k in rng.sample(range(1, 100), 10):
+            words[4 * k - 2] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t, 3) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 85 * len(sets[0] | s) for s in sets)
+    assert sum(100 * len(sets[1] & s) >= 85 * len(sets[1] | s) for s in sets) == 2
+    found = lsh_forest.near_duplicates(make(rows), size=3, share=85).collect()
+    assert sorted(map(tuple, found)) == [(i, 398, 0, i == 0) for i, _ in rows]
+
+
 def test_near_copies_without_rows_or_ids(make):
     assert lsh_forest.near_duplicates(make([(1, "a")]).where("false")).collect() == []
     rows = lsh_forest.near_duplicates(make([(None, "a b c d"), (4, "A b c d"), (5, "")]), size=3)
