@@ -21,10 +21,12 @@ SCRIPTS = (
 )
 
 _TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.?"
-_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
+_WORD = r"\p{Lu}[\p{L}'’-]++"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = rf"(?<![\p{{L}}]){_TITLE} {_WORD}(?: {_WORD})?"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+NAME = rf"(?<![\p{{L}}]){_TITLE} {_WORD}(?: (?!{_TITLE} ){_WORD})*+"
+# A host has at most 127 labels of 63 signs.
+EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"
+         r"(?:[A-Za-z0-9-]{1,63}\.){1,127}[A-Za-z]{2,63}")
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = (r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}"
@@ -32,10 +34,13 @@ PHONE = (r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-HEX = r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?![A-Za-z0-9])"
-SECRET = (r"(?<=(?i:password|passwd|secret|token|api_key|apikey)[=:])[^\s\"',;]{4,128}")
-#: What any entity matches. Repetitions have bounds, so that long texts take linear time.
-ENTITY = "|".join((NAME, EMAIL, KEY, SECRET, IBAN, IP, SOCIAL, CARD, PHONE, HEX))
+HEX = r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])"
+# What stands before a secret, which stays.
+HEAD = (r"(?i:password|passwd|secret|token|api_key|apikey)[\"']?[ \t]*+[=:][ \t]*+[\"']?")
+_VALUE = (r"(?<=\")[^\"\r\n]{4,}+(?=\")|(?<=')[^'\r\n]{4,}+(?=')|[^\s\"',;]{4,}+")
+SECRET = rf"{HEAD}(?:(?:{NAME}|{EMAIL}|{KEY})(?![^\s\"',;.])|{_VALUE})"
+#: What any entity matches. Unbounded repetitions don't go back, so that long texts take linear time.
+ENTITY = "|".join((NAME, EMAIL, KEY, SECRET, HEX, IBAN, IP, SOCIAL, CARD, PHONE))
 #: A quick look for texts that may hold one.
 HINT = rf"[0-9@]|[=:]|(?<![\p{{L}}]){_TITLE} \p{{Lu}}"
 
@@ -63,15 +68,17 @@ def _parts(m: Column, kind: Column) -> Column:
     gender = F.when(m.rlike(rf"^(?:{FEMALE})\b"), "f").when(
         m.rlike(rf"^(?:{MALE})\b"), "m").otherwise("n")
     names = F.regexp_replace(m, rf"^{_TITLE} ", "")
-    given, family = F.substring_index(names, " ", 1), F.substring_index(names, " ", -1)
+    family = F.substring_index(names, " ", -1)
+    words = F.split(names, " ")
     mail = F.lower(m)
     local, host = F.substring_index(mail, "@", 1), F.substring_index(mail, "@", -1)
     digits = F.regexp_replace(m, "[^0-9]", "")
     plain = F.regexp_replace(m, " ", "")
     return (
-        F.when((kind == "name") & names.contains(" "), F.array(
-            _part(F.concat(F.lit("given_"), gender), F.lower(given), F.lower(given)),
-            _part("family", F.lower(family), F.lower(family))))
+        F.when((kind == "name") & names.contains(" "), F.concat(
+            F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: _part(
+                F.concat(F.lit("given_"), gender), F.lower(w), F.lower(w))),
+            F.array(_part("family", F.lower(family), F.lower(family)))))
         .when(kind == "name", F.array(_part("family", F.lower(family), F.lower(family))))
         .when(kind == "email", F.array(_part("mailbox", mail, local), _part("host", host, host)))
         .when(kind.isin(*_DIGITS), F.array(_part(kind, digits, digits)))
@@ -207,10 +214,8 @@ def _rendered(m: Column, kind: Column, made: Column) -> Column:
     names = F.regexp_replace(m, rf"^{_TITLE} ", "")
     mail = F.concat(first, F.lit("@"), last)
     return (
-        F.when((kind == "name") & (F.size(made) == 2), F.concat(
-            title, cased(first, F.substring_index(names, " ", 1)), F.lit(" "),
-            cased(last, F.substring_index(names, " ", -1))))
-        .when(kind == "name", F.concat(title, cased(last, names)))
+        F.when(kind == "name", F.concat(title, F.array_join(
+            F.zip_with(made, F.split(names, " "), cased), " ")))
         .when(kind == "email", F.when(F.upper(m) == m, F.upper(mail)).otherwise(mail))
         .when(kind.isin(*_DIGITS), _refill(m, first, "[0-9]"))
         .when(kind == "iban", _refill(m, first, "[^ ]")).otherwise(first))
@@ -243,17 +248,20 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found = written(keyed.select("_id", "_hash", F.regexp_extract_all(
         body, F.lit(ENTITY), F.lit(0)).alias("found")).where(F.size("found") > 0)
         .dropDuplicates(["_id", "_hash"]), "entities-found")
-    mentions = found.select(F.explode("found").alias("mention")).distinct().select(
-        "mention", _kind(F.col("mention")).alias("of"))
-    mentions = written(mentions.select("mention", "of", _parts(
-        F.col("mention"), F.col("of")).alias("parts")), "entities-mentions")
-    parts = mentions.select("mention", "of", F.posexplode("parts").alias("at", "part")).select(
-        "mention", "of", "at", "part.*")
+    mentions = found.select(F.explode("found").alias("mention")).distinct().withColumn(
+        "head", F.regexp_extract("mention", f"^({HEAD})", 1)).withColumn(
+        "bare", F.substring("mention", F.length("head") + 1, F.length("mention")))
+    mentions = mentions.withColumn("of", _kind(F.col("bare")))
+    mentions = written(mentions.withColumn("parts", _parts(F.col("bare"), F.col("of"))),
+                       "entities-mentions")
+    parts = mentions.select("mention", "head", "bare", "of", F.posexplode("parts").alias(
+        "at", "part")).select("mention", "head", "bare", "of", "at", "part.*")
     table = written(surrogate_table(parts, key), "entities-surrogates")
-    rendered = parts.join(table, ["kind", "identity"]).groupBy("mention", "of").agg(
+    rendered = parts.join(table, ["kind", "identity"]).groupBy("mention", "head", "bare", "of").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))),
                     lambda p: p["surrogate"]).alias("made")).select(
-        "mention", "of", _rendered(F.col("mention"), F.col("of"), F.col("made")).alias("new"))
+        "mention", "of", F.concat("head", _rendered(
+            F.col("bare"), F.col("of"), F.col("made"))).alias("new"))
     rendered = written(rendered, "entities-rendered")
     filled = found.select("_id", "_hash", F.posexplode("found").alias("at", "mention")).join(
         rendered, "mention").groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(

@@ -63,6 +63,23 @@ def test_names_keep_gender_script_and_family(found):
     assert anna.endswith("a") and male.endswith("n")
 
 
+def test_nothing_of_long_entities_stays(make):
+    left = ["x1" * 100, "0a" * 64, "l" * 80, "schmidt", "sk_live_9", "hunter2xyz", "correct horse"]
+    texts = [(1, f"token={left[0]} and"), (2, f"of {left[1]}."), (3, f"{left[2]}@x.org"),
+             (4, "Dr Anna Maria Schmidt"), (5, 'api_key = "sk_live_9"'),
+             (6, "password: hunter2xyz"), (7, 'Secret: "correct horse battery"'),
+             (8, "password: Mrs. Anna Smith, token=bob@x.org; bob@x.org"),
+             (9, "Dr " + " ".join(["Anna"] * 9000) + " token=" + "z" * 100_000)]
+    rows = {r.doc_id: r for r in surrogates.replace_entities(make(texts), "secret").collect()}
+    for (i, t), entity in zip(texts, left):
+        assert entity not in rows[i].text.lower() and len(rows[i].text) == len(t)
+    assert rows[5].text.startswith('api_key = "') and rows[5].text.endswith('"')
+    assert rows[8]._entities == ["name", "email", "email"] and "Smith" not in rows[8].text
+    mails = re.findall(r"[a-z]+@[a-z.]+", rows[8].text)
+    assert mails[0] == mails[1] != "bob@x.org"
+    assert "Anna" not in rows[9].text and "zzzz" not in rows[9].text
+
+
 def test_collisions_draw_again(spark):
     """All ten thousand addresses with octets of one digit but a few: no two may agree."""
     octets = [(f"{a}.{b}.{c}.{d}",) for a in range(1, 4) for b in range(10) for c in range(4)
