@@ -19,10 +19,11 @@ from fareloom.session import written
 SLICE_BYTES = 8 << 20
 #: The token behind each text; no word is empty.
 END = b""
-#: Classes that exchange forms; behind them come the class of END and that of unknown words.
+#: Classes that exchange forms; behind them come the class of END, that of unknown words, and that
+#: of words which never stand beside a frequent one.
 CLASSES = 64
-END_CLASS, UNKNOWN = CLASSES, CLASSES + 1
-ALL = CLASSES + 2
+END_CLASS, UNKNOWN, APART = CLASSES, CLASSES + 1, CLASSES + 2
+ALL = CLASSES + 3
 #: What each class's transitions are smoothed by, in tokens.
 PRIOR = 50.0
 
@@ -196,8 +197,8 @@ def class_ngram_scores(docs: DataFrame, text: str = "text", frequent: int = 1024
 
     The exchange runs over the bigrams of the ``frequent`` most frequent words, a table whose size
     has a bound; then each other word, however rare, takes the class under which its neighbours
-    among them are likeliest, which is one exchange step for all words at once. Words, counts and
-    contexts come from all training texts.
+    among them are likeliest, which is one exchange step for all words at once. Words without such
+    neighbours share a class of their own. Words, counts and contexts come from all training texts.
 
     The texts are encoded once, in slices with vocabularies of their own, and written. What is
     shuffled is one entry per word and slice, in blocks by a hash of the word: contexts on the way
@@ -314,7 +315,7 @@ def class_ngram_scores(docs: DataFrame, text: str = "text", frequent: int = 1024
                 if len(pending) == 64:
                     fold()
         fold()
-        of = np.zeros(len(numbers), np.uint8)
+        of = np.full(len(numbers), APART, np.uint8)
         word, context = summed[0] // (2 * CLASSES), summed[0] % (2 * CLASSES)
         starts = np.nonzero(np.diff(word, prepend=-1))[0]
         for a in range(0, len(starts), 4096):

@@ -163,3 +163,16 @@ def test_exchange_separates_alternating_words():
                                                              for b in (3, 4, 5)]
     of = brown.exchange(np.array(pairs), np.full(len(pairs), 10.0), 6, 2)
     assert len(set(of[:3])) == 1 and len(set(of[3:])) == 1 and of[0] != of[3]
+
+
+def test_words_without_frequent_neighbours_are_apart(make):
+    """Texts of rare words only are likelier by classes than without, and leave those of frequent
+    words nearly as they are."""
+    often = [(i, "a b a b a b") for i in range(1, 300) if zlib.crc32(str(i).encode()) % 10]
+    rare = [(i, f"r{i} s{i} t{i}") for i in range(300, 310) if zlib.crc32(str(i).encode()) % 10]
+    found = {r.doc_id: r for r in brown.class_ngram_scores(make(often + rare), frequent=2).collect()}
+    for i, _ in rare:
+        assert found[i].score > found[i].base_score
+    alone = {r.doc_id: r for r in brown.class_ngram_scores(make(often), frequent=2).collect()}
+    for i, _ in often[:3]:
+        assert abs(found[i].score - alone[i].score) < 0.1
