@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom.llm import (
-    bpe, brown, exact_dedup, lsh_forest, outliers, packing, quality_fm, sharding,
+    alignment, bpe, brown, exact_dedup, lsh_forest, outliers, packing, quality_fm, sharding,
     suffix_dedup, surrogates)
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
 TOKENIZER = "word_bpe_49k.json"
+#: The two that are aligned.
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 4 << 20
@@ -22,10 +24,10 @@ SURROGATE_KEY = "benchmark"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,7 +92,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, carry=("text_sha256",))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), *map(tokenizer_path, ALIGNED))
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_suffix_dedup, op2_sharding, op3_quality_classifier, op4_near_dedup, op5_packing, op6_bpe, op7_quality_rules, op8_class_ngrams,
-        op9_surrogates, op10_exact_dedup)}
+        op1_suffix_dedup, op2_sharding, op3_quality_classifier, op4_near_dedup, op5_packing,
+        op6_bpe, op7_quality_rules, op8_class_ngrams, op9_surrogates, op10_exact_dedup,
+        op11_alignment)}
