@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom.llm import (
-    alignment, bpe, brown, exact_dedup, hard_negatives, lsh_forest, outliers, packing, quality_fm, sharding,
-    suffix_dedup, surrogates)
+    alignment, bpe, brown, exact_dedup, hard_negatives, lsh_forest, outliers, packing,
+    phrase_dedup, quality_fm, sharding, suffix_dedup, surrogates)
 from fareloom.llm.texts import ascii_lower, documents, text_of
 
 #: The tokenizer file of the queries; installed on every machine.
@@ -96,6 +96,11 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(documents(spark, folder), *map(tokenizer_path, ALIGNED))
 
 
+def op12_phrase_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_dedup.recurring_passages(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -106,4 +111,4 @@ def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_sharding, op3_quality_classifier, op4_near_dedup, op5_packing,
         op6_bpe, op7_quality_rules, op8_class_ngrams, op9_surrogates, op10_exact_dedup,
-        op11_alignment, op13_hard_negatives)}
+        op11_alignment, op12_phrase_dedup, op13_hard_negatives)}

@@ -103,6 +103,19 @@ def test_no_rows(spark):
     assert found(spark, [(100, [1.0], 1)]) == []
 
 
+def test_query_equals_its_sql(spark):
+    import duckdb
+    from conftest import TESTDATA
+    from fareloom.llm import oracle, queries
+
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as from '{TESTDATA}/embeddings.parquet'")
+        expected = con.execute(oracle.all_sql()["op13_hard_negatives"])
+        columns, expected = [d[0] for d in expected.description], sorted(expected.fetchall())
+    out = queries.op13_hard_negatives(spark, TESTDATA)
+    assert sorted(map(tuple, out.select(columns).collect())) == expected and expected
+
+
 def test_candidates_miss_nothing():
     rng = np.random.default_rng(3)
     pruned = 0
