@@ -16,10 +16,10 @@ from t join g using (text_sha256)
 HARD_NEGATIVES = """
 with rows as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> floor(256 * x::double)) as q
+         [floor(256 * x::double) for x in embedding] as q
   from embeddings
   where label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 pairs as (
   select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
          list_inner_product(a.q, b.q)::bigint as score
