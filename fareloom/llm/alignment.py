@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,47 +18,74 @@ from fareloom.llm.bpe import byte_alphabet
 from fareloom.llm.texts import text_of
 from fareloom.session import written
 
-#: Texts are aligned in slices of about so many bytes, and so many stretches are remembered
-#: between slices of a task; both only bound memory.
-SLICE_BYTES, REMEMBERED = 8 << 20, 150_000
+#: Texts are aligned in slices of about so many bytes, which bounds memory.
+SLICE_BYTES = 8 << 20
 
+#: Signs whose kind no Unicode version has changed since these letters were added.
+PLAIN = re.compile("[\\t\\n\\r -~\\u00a1-\\u024f]*")
 
-def gallop(values: list[int], target: int, start: int) -> int:
-    """The first index from ``start`` on whose value is at least ``target``: steps that double
-    until they pass it, then a binary search in the last step."""
-    low = high = start
-    step = 1
-    while high < len(values) and values[high] < target:
-        low, high, step = high + 1, high + step, step * 2
-    return bisect_left(values, target, low, min(high, len(values)))
 
+def gallop(values: np.ndarray, targets: np.ndarray, begins: np.ndarray,
+           stops: np.ndarray) -> np.ndarray:
+    """For each target the first index from its begin on whose value is at least the target, or its
+    stop: steps that double until they pass it, then a binary search in the last step.
 
-def intersect(short: list[int], long: list[int]) -> tuple[list[int], list[bool]]:
-    """For each end of ``short`` its rank in ``long``, and whether it is an end there too."""
-    ranks, common, at = [], [], 0
-    for end in short:
-        at = gallop(long, end, at)
-        ranks.append(at)
-        common.append(at < len(long) and long[at] == end)
-    return ranks, common
-
-
-def overlaps(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The pairs of tokens whose byte ranges overlap, and where groups stop in A and in B.
-
-    The ends ascend strictly and have the same last one. Ranks of a shorter list's ends in the
-    longer say which tokens there each one overlaps: from the first that ends behind its begin to
-    the first that ends at its end or later.
+    All targets take their steps together; those that have arrived leave.
+    """
+    low, high = begins.copy(), begins.copy()
+    left, step = np.nonzero(begins < stops)[0], 1
+    while len(left):
+        left = left[values[high[left]] < targets[left]]
+        low[left] = high[left] + 1
+        high[left] = np.minimum(high[left] + step, stops[left])
+        left, step = left[high[left] < stops[left]], step * 2
+    left = np.nonzero(low < high)[0]
+    while len(left):
+        middle = (low[left] + high[left]) // 2
+        less = values[middle] < targets[left]
+        low[left[less]] = middle[less] + 1
+        high[left[~less]] = middle[~less]
+        left = left[low[left] < high[left]]
+    return low
+
+
+class Overlaps:
+    """Which tokens of A and B overlap, for many stretches of text at once.
+
+    ``ends_a`` and ``ends_b`` are the places at which tokens end, ascending over all stretches, of
+    which each stretch has so many; the last of a stretch is the same in both. In each stretch the
+    shorter list gallops through the longer. The ranks that its ends get there say which tokens
+    each of its own overlaps: from the first that ends behind its begin to the first that ends at
+    its end or later.
     """
-    swap = len(ends_a) > len(ends_b)
-    ranks, common = intersect(*((ends_b, ends_a) if swap else (ends_a, ends_b)))
-    links, stops, low = [], [], 0
-    for i, (rank, both) in enumerate(zip(ranks, common)):
-        links += [(j, i) if swap else (i, j) for j in range(low, rank + 1)]
-        if both:
-            stops.append((rank + 1, i + 1) if swap else (i + 1, rank + 1))
-        low = rank + both
-    return links, stops
+
+    def __init__(self, ends_a: np.ndarray, counts_a: np.ndarray, ends_b: np.ndarray,
+                 counts_b: np.ndarray):
+        first_a, first_b = (np.cumsum(c) - c for c in (counts_a, counts_b))
+        swap = counts_a > counts_b
+        values = np.concatenate([ends_a, ends_b])
+        short = np.where(swap, counts_b, counts_a)
+        stretch = np.repeat(np.arange(len(short)), short)
+        begins = np.where(swap, first_a, first_b + len(ends_a))
+        stops = begins + np.where(swap, counts_a, counts_b)
+        inner = np.arange(len(stretch)) - np.repeat(np.cumsum(short) - short, short)
+        own = inner + np.where(swap, first_b + len(ends_a), first_a)[stretch]
+        ranks = gallop(values, values[own], begins[stretch], stops[stretch])
+        common = values[ranks] == values[own]
+        low = np.where(inner == 0, begins[stretch], np.append(0, (ranks + common)[:-1])[:len(ranks)])
+        times = ranks - low + 1
+        there = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(
+            np.cumsum(times) - times, times)
+        here, turned = np.repeat(own, times), np.repeat(swap[stretch], times)
+        #: The tokens of each link, and the links of each stretch.
+        self.a = np.where(turned, there, here)
+        self.b = np.where(turned, here, there) - len(ends_a)
+        self.links = np.bincount(stretch, times, len(short)).astype(np.int64)
+        #: Whether a group ends with a token, and the groups of each stretch.
+        ends = np.zeros(len(values), bool)
+        ends[own[common]] = ends[ranks[common]] = True
+        self.ends_a, self.ends_b = ends[:len(ends_a)], ends[len(ends_a):]
+        self.groups = np.bincount(stretch[common], minlength=len(short))
 
 
 class Tokenizers:
@@ -87,10 +116,51 @@ class Tokenizers:
             and not self.a.pre_tokenizer.add_prefix_space and self.a.normalizer is None
             and not any("▁" in p.lstrip("▁") for p in pieces))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A for a space and the text, and of B for the text, to which B adds a space."""
-        spaced = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return zip((e.ids for e in spaced), self.b.encode(texts, num_threads=1))
+        self.sizes_a, self.sizes_b = (np.array([len(e) for e in entries], np.int64)
+                                      for entries in (self.bytes_a, self.bytes_b))
+        self.ranked = self._ranked(path_a) if self.cuts else None
+        #: How ids are written inside and at the end of their part of a group.
+        self.signs = [f"{i}{sign}" for n, last in ((len(self.bytes_a), "|"), (len(pieces), ";"))
+                      for i in range(n) for sign in (",", last)]
+
+    def _ranked(self, path: str):
+        """The same vocabulary as tiktoken has it, by ranks, where ids ascend as merges do."""
+        import public_tokenizers
+        import tiktoken
+
+        model = json.loads(open(path, encoding="utf-8").read())["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in merges]
+        entries = self.bytes_a[:len(model["vocab"])]
+        if made != list(range(256, 256 + len(made))) or any(len(e) != 1 for e in entries[:256]):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks={e: i for i, e in enumerate(entries[:256 + len(made)])})
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A for a space and each text, and their numbers; ids of B for each text, to which
+        B adds the space, and their numbers.
+
+        Texts that end before a cut, and have plain signs only, are one long text for A.
+        """
+        joined = [self.ranked is not None and t != "" and not t[-1].isspace()
+                  and PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [" " + t for t, j in zip(texts, joined) if j]
+        ids = np.array(self.ranked.encode_ordinary("".join(plain)) if plain else (), np.int64)
+        ends = np.searchsorted(np.cumsum(self.sizes_a[ids]), np.cumsum(
+            np.fromiter((len(t.encode()) for t in plain), np.int64, len(plain))), side="right")
+        counts = np.zeros(len(texts), np.int64)
+        counts[joined] = np.diff(ends, prepend=0)
+        odd = [k for k, j in enumerate(joined) if not j]
+        others = [e.ids for e in self.a.encode_batch_fast(
+            [" " + texts[k] for k in odd], add_special_tokens=False)]
+        counts[odd] = [len(x) for x in others]
+        flat = np.empty(int(counts.sum()), np.int64)
+        of_joined = np.repeat(np.array(joined, bool), counts)
+        flat[of_joined] = ids
+        flat[~of_joined] = _flat(others)
+        pieces = self.b.encode(texts, num_threads=1)
+        return flat, counts, _flat(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
 class Stretches(dict):
@@ -143,53 +213,57 @@ class Stretches(dict):
         return out
 
 
-class Aligner:
-    """Aligns stretches and remembers what was found for each."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.both = Tokenizers(path_a, path_b)
-        self.clear()
-
-    def clear(self) -> None:
-        self.stretches = Stretches(self.both.cuts)
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A and of B, groups; or none
-        self.groups: list[str] = []
-        self.links: list[np.ndarray] = []  # A's id times 2**32 plus B's
-
-    def numbers(self, texts: list[str]) -> list[list[int]]:
-        """The stretches of each text; every stretch is aligned once this returns."""
-        found = [self.stretches.numbers(t) if t else [] for t in texts]
-        done = len(self.sizes)
-        for a in range(done, len(self.stretches.texts), 4096):
-            batch = self.stretches.texts[a:a + 4096]
-            for text, (ids_a, ids_b) in zip(batch, self.both.encode(batch)):
-                self._align((" " + text).encode(), ids_a, ids_b)
-        return found
-
-    def _align(self, body: bytes, ids_a: list[int], ids_b: list[int]) -> None:
-        tokens_a = [self.both.bytes_a[i] for i in ids_a]
-        tokens_b = [self.both.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != body or b"".join(tokens_b) != body:
-            self.sizes.append((0, 0, 0))
-            self.groups.append("")
-            self.links.append(np.zeros(0, np.int64))
-            return
-        links, stops = overlaps(_ends(tokens_a), _ends(tokens_b))
-        self.sizes.append((len(ids_a), len(ids_b), len(stops)))
-        self.links.append(np.array([ids_a[i] << 32 | ids_b[j] for i, j in links], np.int64))
-        parts, x, y = [], 0, 0
-        for i, j in stops:
-            parts.append(",".join(map(str, ids_a[x:i])) + "|" + ",".join(map(str, ids_b[y:j])))
-            x, y = i, j
-        self.groups.append(";".join(parts))
-
-
-def _ends(tokens: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
+class Aligned:
+    """Stretches encoded by both tokenizers and aligned; none of a stretch whose tokens don't spell
+    it."""
+
+    def __init__(self, both: Tokenizers, stretches: list[str]):
+        parts = [both.encode(stretches[k:k + 16384]) for k in range(0, len(stretches), 16384)]
+        ids_a, counts_a, ids_b, counts_b = (
+            np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*parts) if parts else [()] * 4))
+        bodies = [(" " + s).encode() for s in stretches]
+        good = (_spelled(ids_a, counts_a, both.bytes_a, both.sizes_a, bodies)
+                & _spelled(ids_b, counts_b, both.bytes_b, both.sizes_b, bodies))
+        self.counts_a, self.counts_b = (np.where(good, c, 0) for c in (counts_a, counts_b))
+        self.a, self.b = (ids[np.repeat(good, c)] for ids, c in (
+            (ids_a, counts_a), (ids_b, counts_b)))
+        ends = np.cumsum(both.sizes_a[self.a]), np.cumsum(both.sizes_b[self.b])
+        found = Overlaps(ends[0], self.counts_a, ends[1], self.counts_b)
+        self.groups, self.links = found.groups, found.links
+        #: A's id times 2**32 plus B's, of all links in the order of stretches.
+        self.pairs = self.a[found.a] << 32 | self.b[found.b]
+        self.spelled = self._spell(found, both)
+
+    def _spell(self, found: Overlaps, both: Tokenizers) -> list[str]:
+        """The groups of each stretch, ids of A before those of B."""
+        written_a = np.nonzero(found.ends_a)[0] + 1
+        written_b = np.append(0, np.nonzero(found.ends_b)[0] + 1)
+        group_a = np.cumsum(found.ends_a) - found.ends_a
+        group_b = np.cumsum(found.ends_b) - found.ends_b
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        codes[np.arange(len(self.a)) + written_b[group_a]] = 2 * self.a + found.ends_a
+        codes[np.arange(len(self.b)) + written_a[group_b]] = (
+            2 * (len(both.bytes_a) + self.b) + found.ends_b)
+        parts = list(map(both.signs.__getitem__, codes.tolist()))
+        stops = np.cumsum(self.counts_a + self.counts_b).tolist()
+        return ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops)]
+
+
+def _spelled(ids: np.ndarray, counts: np.ndarray, entries: list[bytes], sizes: np.ndarray,
+             bodies: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each stretch's tokens are the stretch."""
+    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    tokens = list(map(entries.__getitem__, ids.tolist()))
+    good = _sums(sizes[ids], counts) == lengths
+    if good.all() and b"".join(tokens) == b"".join(bodies):
+        return good
+    stops = np.cumsum(counts).tolist()
+    return np.fromiter((b"".join(tokens[x:y]) == body for x, y, body in zip(
+        [0, *stops], stops, bodies)), bool, len(bodies))
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
 def _pressed(values: np.ndarray) -> bytes:
@@ -220,8 +294,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     ``groups_sha256`` is of ``a1,a2|b1;a3|b2,b3``: the ids of A and B of the groups in order.
 
     Each text is cut before spaces, where both tokenizers always end, and a stretch that occurs
-    again is aligned once. The shorter list of ends gallops through the longer. Each slice of texts
-    sends a row per pair of ids that it links, and gets its count back; texts are read once.
+    again in a slice of texts is aligned once. The shorter list of ends gallops through the longer.
+    Each slice sends a row per pair of ids that it links, and gets its count back; texts are read once.
 
     A text that is missing or empty, or whose tokens don't spell it, has no tokens: zeros, and ''
     for the hash. Rows that repeat an id are texts of their own. A missing id stays missing. An
@@ -234,7 +308,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     target = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        both = Tokenizers(path_a, path_b)
         base, ids, texts, total = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -242,10 +316,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
                 texts.append(t.as_py())
                 total += len(texts[-1])
                 if total >= SLICE_BYTES:
-                    yield _slice(aligner, base, ids, texts, target)
+                    yield _slice(both, base, ids, texts, target)
                     base, ids, texts, total = base + 1, [], [], 0
         if ids:
-            yield _slice(aligner, base, ids, texts, target)
+            yield _slice(both, base, ids, texts, target)
 
     slices = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text))
                      .mapInArrow(run, schema), "alignment-slices")
@@ -296,35 +370,30 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
         back.groupBy("slice")).applyInArrow(finish, out_schema)
 
 
-def _slice(aligner: Aligner, number: int, ids: list, texts: list[str],
+def _slice(both: Tokenizers, number: int, ids: list, texts: list[str],
            target: pa.Schema) -> pa.RecordBatch:
     """One row for all texts of a slice, with each pair of ids that they link."""
-    if len(aligner.sizes) > REMEMBERED:
-        aligner.clear()
-    found = aligner.numbers(texts)
-    n = len(aligner.sizes)
-    sizes = np.array(aligner.sizes, np.int64).reshape(-1, 3)
-    links_of = np.fromiter(map(len, aligner.links), np.int64, n)
-    counts = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(counts.sum()))
+    stretches = Stretches(both.cuts)
+    found = [stretches.numbers(t) if t else [] for t in texts]
+    counts, flat = np.fromiter(map(len, found), np.int64, len(found)), _flat(found)
+    aligned = Aligned(both, stretches.texts)
     # A text with a stretch that its tokens don't spell has none.
     text = np.repeat(np.arange(len(found)), counts)
-    wrong = np.bincount(text[sizes[flat, 0] == 0], minlength=len(found)) > 0
+    wrong = np.bincount(text[aligned.counts_a[flat] == 0], minlength=len(found)) > 0
     flat, counts = flat[~wrong[text]], np.where(wrong, 0, counts)
-    per_text = [_sums(column[flat], counts) for column in (*sizes.T, links_of)]
-    digests = []
-    at = flat.tolist()
-    for a, b in zip((np.cumsum(counts) - counts).tolist(), np.cumsum(counts).tolist()):
-        spelled = ";".join(map(aligner.groups.__getitem__, at[a:b]))
+    per_text = [_sums(column[flat], counts) for column in (
+        aligned.counts_a, aligned.counts_b, aligned.groups, aligned.links)]
+    digests, at, stops = [], flat.tolist(), np.cumsum(counts).tolist()
+    for a, b in zip([0, *stops], stops):
+        spelled = ";".join(map(aligned.spelled.__getitem__, at[a:b]))
         digests.append(hashlib.sha256(spelled.encode()).hexdigest() if b > a else "")
-    used, local = np.unique(flat, return_inverse=True)
-    keys = np.concatenate([np.zeros(0, np.int64), *(aligner.links[u] for u in used.tolist())])
-    pairs, link = np.unique(keys, return_inverse=True)
-    often = np.repeat(np.bincount(local, minlength=len(used)), links_of[used])
+    # Stretches of texts that have no tokens link nothing.
+    often = np.repeat(np.bincount(flat, minlength=len(stretches.texts)), aligned.links)
+    pairs, link = np.unique(aligned.pairs, return_inverse=True)
     times = np.zeros(len(pairs), np.int64)
     np.add.at(times, link, often)
     row = [number, ids, *(p.tolist() for p in per_text), digests, counts.tolist(),
-           _pressed(local.astype(np.int32)), _pressed(links_of[used].astype(np.int32)),
+           _pressed(flat.astype(np.int32)), _pressed(aligned.links.astype(np.int32)),
            _pressed(link.astype(np.int32)), _pressed(pairs), _pressed(times)]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], f.type) for v, f in zip(row, target)], schema=target)

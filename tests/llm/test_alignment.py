@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpus_fixtures import corpus, make  # noqa: F401
 
@@ -29,13 +30,17 @@ def random_texts(n, seed=3):
     return ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(n)]
 
 
+def tokens_of(both, text):
+    return (both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text))
+
+
 def brute(both, texts):
     found = []
     for text in texts:
         if not text:
             found.append(None)
             continue
-        (ids_a, ids_b), = both.encode([text])
+        ids_a, ids_b = tokens_of(both, text)
         tokens = [both.bytes_a[i] for i in ids_a], [both.bytes_b[i] for i in ids_b]
         if any(b"".join(t) != (" " + text).encode() for t in tokens):
             found.append(None)
@@ -88,36 +93,44 @@ def test_no_rows(make):
 
 
 def test_stretches_are_encoded_as_in_their_text(both):
-    aligner = alignment.Aligner(*PATHS)
     assert both.cuts
+    stretches = alignment.Stretches(True)
     # B takes the sign that stands for a space as one, and such a text has no tokens.
-    texts = [t for t in ODD + random_texts(1500, 8) if t and "▁" not in t]
-    for text, numbers in zip(texts, aligner.numbers(texts)):
-        (whole_a, whole_b), = both.encode([text])
-        parts = list(both.encode([aligner.stretches.texts[n] for n in numbers]))
-        assert [i for a, _ in parts for i in a] == whole_a
-        assert [i for _, b in parts for i in b] == whole_b
+    for text in (t for t in ODD + random_texts(1500, 8) if t and "▁" not in t):
+        whole_a, whole_b = tokens_of(both, text)
+        a, _, b, _ = both.encode([stretches.texts[n] for n in stretches.numbers(text)])
+        assert a.tolist() == whole_a and b.tolist() == whole_b
 
 
-def test_forgotten_stretches_change_nothing(make, corpus, monkeypatch):
-    rows = corpus[:40]
-    before = sorted(map(tuple, alignment.align(make(rows), *PATHS).collect()))
-    monkeypatch.setattr(alignment, "SLICE_BYTES", 500)
-    monkeypatch.setattr(alignment, "REMEMBERED", 3)
-    assert sorted(map(tuple, alignment.align(make(rows), *PATHS).collect())) == before
+def test_long_text_of_stretches_is_encoded_as_each(both):
+    texts = [t for t in ODD + random_texts(800, 5) if t] + ["fiancée", "ÀÉ ²½x", "don't 'S", "a\tb"]
+    a, counts_a, _, counts_b = both.encode(texts)
+    assert both.ranked is not None
+    expected = [both.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert counts_a.tolist() == [len(e) for e in expected] and len(counts_b) == len(texts)
+    assert a.tolist() == [i for e in expected for i in e]
 
 
 def test_gallop():
     rng = random.Random(4)
-    for _ in range(200):
-        values = sorted(rng.sample(range(500), rng.randrange(0, 60)))
-        start, target = rng.randrange(0, len(values) + 1), rng.randrange(0, 520)
-        expected = next((k for k in range(start, len(values)) if values[k] >= target), len(values))
-        assert alignment.gallop(values, target, start) == expected
+    values = np.array(sorted(rng.sample(range(5000), 600)))
+    begins = np.array([rng.randrange(0, 600) for _ in range(300)])
+    stops = np.array([rng.randrange(b, 601) for b in begins])
+    targets = np.array([rng.randrange(0, 5200) for _ in range(300)])
+    expected = [next((k for k in range(b, s) if values[k] >= t), s)
+                for b, s, t in zip(begins, stops, targets)]
+    assert alignment.gallop(values, targets, begins, stops).tolist() == expected
 
 
 def test_overlaps_of_either_side():
+    """Two stretches of nine bytes, the shorter list once A's and once B's."""
     a, b = [2, 5, 9], [1, 5, 7, 8, 9]
-    links, stops = alignment.overlaps(a, b)
-    assert links == [(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (2, 4)] and stops == [(2, 2), (3, 5)]
-    assert sorted((x, y) for y, x in alignment.overlaps(b, a)[0]) == links
+    found = alignment.Overlaps(
+        np.array(a + [9 + e for e in b]), np.array([3, 5]),
+        np.array(b + [9 + e for e in a]), np.array([5, 3]))
+    links = [(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (2, 4)]
+    assert sorted(zip(found.a.tolist(), found.b.tolist())) == sorted(
+        links + [(3 + y, 5 + x) for x, y in links])
+    assert found.groups.tolist() == [2, 2] and found.links.tolist() == [6, 6]
+    assert np.nonzero(found.ends_a)[0].tolist() == [1, 2, 4, 7]
+    assert np.nonzero(found.ends_b)[0].tolist() == [1, 4, 6, 7]
