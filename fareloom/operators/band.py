@@ -4,19 +4,23 @@ A booking is similar to another if duration and distance both lie within +-20 %.
 per booking is a count and a mean over all similar auctions, that is, a sum over a rectangle of
 (duration, distance). Sums over rectangles do not need the pairs:
 
-* durations and distances are numbered by rank, and every point is added to one node per power of two of its
-  rank (a node covers 2**level neighbouring ranks);
-* a band of durations is the union of at most two nodes per level;
-* inside a node the band of distances is a difference of two prefix sums (``sums_before``).
+* the auctions in a band are those below its upper corner, less those below the two corners beside
+  it, plus those below the lower one, and such sums need no pairs (``functions/dominance.py``);
+* an auction whose booking id has several shapes counts once where any of them lies in the band.
+  Seen from the other side, each shape is a box of the queries whose band holds it; the boxes of an
+  id are cut into disjoint rectangles, which a query counts by the sums below itself.
 
 The work grows with the number of distinct (duration, distance) cells times the logarithm of the
-number of distinct durations, whatever share of the rows falls into one band.
+number of distinct durations, whatever share of the rows falls into one band or has one id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from fareloom.functions.dominance import DominanceIndex, dominance_sums
 from fareloom.functions.exact import dec, ratio
 from fareloom.functions.keys import collapse, key_names, null_key
 from fareloom.functions.ordered import order_code, sums_before
@@ -26,6 +30,7 @@ from fareloom.session import written
 TOLERANCE = 0.2
 MEASURES = ["n", "n_price", "sum_price"]
 BOOKING = key_names("booking_uuid")
+SIDES = ("booked_duration", "booked_distance")
 
 
 def _band(column: str, tolerance: float) -> dict[str, Column]:
@@ -84,7 +89,7 @@ def auction_points(history: DataFrame, auctions: DataFrame) -> DataFrame:
     """Auction counts and price sums of past bookings, by exact duration and distance.
 
     An auction counts once however many bookings carry its id. Ids with one (duration, distance)
-    are summed over it; the few with several keep a row for each, with the id as ``repeated``.
+    are summed over it; those with several keep a row for each, with the id as ``repeated``.
     """
     shapes = history.dropna(subset=["booked_duration", "booked_distance"]).groupBy(
         *null_key(history, "booking_uuid"), "booked_duration", "booked_distance").agg(
@@ -96,22 +101,30 @@ def auction_points(history: DataFrame, auctions: DataFrame) -> DataFrame:
 
 
 def with_similar_auctions(bookings: DataFrame, points: DataFrame, tolerance: float = TOLERANCE,
-                          without: DataFrame | None = None,
-                          folder: str | None = None) -> DataFrame:
+                          without: DataFrame | None = None) -> DataFrame:
     """Bookings, past or incoming, with ``matched_auctions``, ``similar_price`` and
     ``similar_success``. Auctions given as ``without`` do not count for their own booking.
 
     ``points`` (``auction_points``) are read several times and should be a written table.
     """
-    queries = bookings.select("booked_duration", "booked_distance").dropna().distinct()
-    sums = _summed(
-        band_sums(points.where("repeated IS NULL"), queries, tolerance, folder).unionByName(
-            _repeated_sums(points.where("repeated IS NOT NULL"), queries, tolerance)),
-        "booked_duration", "booked_distance")
-    out = bookings.join(sums, ["booked_duration", "booked_distance"], "left")
+    queries = bookings.select(*SIDES).dropna().distinct()
+    sums = band_sums(points.where("repeated IS NULL"), queries, tolerance)
+    repeated = points.where("repeated IS NOT NULL")
+    if not repeated.isEmpty():
+        sums = _summed(sums.unionByName(_repeated_sums(repeated, queries, tolerance)), *SIDES)
+    out = bookings.join(sums, list(SIDES), "left")
     return _matched(out if without is None else _without_own(out, _price_sums(without)))
 
 
+def with_indexed_auctions(bookings: DataFrame, index: BandIndex, folder: str) -> DataFrame:
+    """As ``with_similar_auctions``, for a few bookings and the points of an index.
+
+    ``folder`` takes what the lookups write.
+    """
+    queries = written(bookings.select(*SIDES).dropna().distinct(), "queries", folder)
+    return _matched(bookings.join(index.sums(queries, folder), list(SIDES), "left"))
+
+
 def _without_own(out: DataFrame, own: DataFrame) -> DataFrame:
     """Take a booking's own auctions out again; it is in its own band unless a side is negative."""
     renamed = own.select(*BOOKING, *[F.col(m).alias(f"own_{m}") for m in MEASURES])
@@ -123,91 +136,189 @@ def _without_own(out: DataFrame, own: DataFrame) -> DataFrame:
     }).drop(*BOOKING, *[f"own_{m}" for m in MEASURES])
 
 
-def _repeated_sums(points: DataFrame, queries: DataFrame, tolerance: float) -> DataFrame:
-    """Sums over the ids with several shapes of which any lies in the band, each id once.
+def _boxes(points: DataFrame, tolerance: float) -> DataFrame:
+    """For each shape the codes [from, to) of the durations and distances whose bands hold it.
 
-    Which ids a band holds can't be told from sums, so these few ids are matched: on logarithmic
-    cells of both sides, of which a band touches at most three, then on the numbers themselves.
+    The ends are the least double whose band reaches up to the value and the largest whose band
+    reaches down to it, found among the neighbours of the quotients.
     """
-    sides = ("booked_duration", "booked_distance")
-
-    def cell(c: Column) -> Column:
-        steps = F.floor(F.log(c) / F.log(F.lit((1 + tolerance) / (1 - tolerance))))
-        return F.when(c > 0, steps).otherwise(F.lit(-1 << 40))
-
-    def touched(c: str) -> Column:
-        return F.explode(F.sequence(cell(F.col(c) * F.lit(1 - tolerance)),
-                                    cell(F.col(c) * F.lit(1 + tolerance))))
-
-    asked = queries.where(" AND ".join(f"{c} >= 0" for c in sides))
-    for c in sides:
-        asked = asked.withColumn(f"{c}_cell", touched(c))
-    placed = points.select("repeated", *MEASURES, *[F.col(c).alias(f"past_{c}") for c in sides],
-                           *[cell(F.col(c)).alias(f"{c}_cell") for c in sides])
-    within = [F.col(f"past_{c}").between(F.col(c) * F.lit(1 - tolerance),
-                                         F.col(c) * F.lit(1 + tolerance)) for c in sides]
-    matched = asked.join(placed, [f"{c}_cell" for c in sides]).where(within[0] & within[1])
-    once = matched.groupBy(*sides, "repeated").agg(*[F.max(m).alias(m) for m in MEASURES])
-    return once.groupBy(*sides).agg(*[F.sum(m).alias(m) for m in MEASURES])
-
-
-def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANCE,
-              folder: str | None = None) -> DataFrame:
-    """Sums of the points in the band of each (booked_duration, booked_distance) query.
-
-    Bands and ranks feed several branches, so they are written out once.
+    largest = F.lit(1.7976931348623157e308)
+
+    def near(quotient: Column) -> Column:
+        step = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(quotient)) - 53), F.lit(5e-324))
+        return F.when(quotient > 0, F.transform(
+            F.sequence(F.lit(-12), F.lit(12)), lambda k: quotient + step * k)).otherwise(
+            F.array(F.lit(0.0)))
+
+    def ends(side: str) -> dict[str, Column]:
+        x = F.col(f"booked_{side}").cast("double")
+        finite = F.least(x, largest)
+        low = F.array_min(F.filter(near(finite / F.lit(1 + tolerance)),
+                                   lambda c: c * F.lit(1 + tolerance) >= x))
+        high = F.when(x > largest, x).otherwise(F.array_max(F.filter(
+            near(finite / F.lit(1 - tolerance)), lambda c: c * F.lit(1 - tolerance) <= x)))
+        return {f"{side}_low": low, f"{side}_high": high}
+
+    shown = points.where(" AND ".join(f"{c} >= 0" for c in SIDES))
+    return shown.withColumns({**ends("duration"), **ends("distance")}).select(
+        F.struct("repeated.*").alias("id"), *MEASURES,
+        *[f"{s}_{e}" for s in ("duration", "distance") for e in ("low", "high")])
+
+
+def box_corners(points: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The repeated ids' measures as corners (u, v, measures): a query's sums over the ids of which
+    any shape lies in its band are those of the corners at or below it.
+
+    A box spans a factor of (1 + tolerance) / (1 - tolerance) in both directions. Space is cut into
+    cells of a smaller factor, so that a box that meets a cell covers at least one of its ends in
+    each direction. What an id's boxes cover above a duration of a cell is then a part from the
+    cell's lower end up and one from the upper end down; both change at ends of boxes only. An id
+    with so many shapes has at most as many such rectangles as boxes and cells, times four.
     """
-    points = points.select(order_code(F.col("booked_duration")).alias("duration_code"),
-                           order_code(F.col("booked_distance")).alias("distance_code"), *MEASURES)
-    ranged = written(queries.withColumns(
+    if not 0 < tolerance < 1:
+        raise ValueError("a tolerance between 0 and 1 is needed")
+    factor = ((1 + tolerance) / (1 - tolerance)) ** 0.9
+    lowest = F.lit(-(1 << 20))
+
+    def start_of(cell: Column) -> Column:
+        return order_code(F.pow(F.lit(factor), cell.cast("double")))
+
+    boxes = _boxes(points, tolerance)
+    for side in ("duration", "distance"):
+        low, high = F.col(f"{side}_low"), F.col(f"{side}_high")
+        steps = [F.floor(F.log(F.least(c, F.lit(1.7e308))) / F.log(F.lit(factor))).cast("int")
+                 for c in (low, high)]
+        boxes = boxes.withColumn(f"{side}_cell", F.explode(
+            F.when(low <= 0, F.array(lowest)).otherwise(
+                F.sequence(steps[0] - 1, steps[1] + 1))))
+        cell = F.col(f"{side}_cell")
+        boxes = boxes.withColumns({
+            f"{side}_begin": F.when(cell == lowest, 0).otherwise(start_of(cell)),
+            f"{side}_end": F.when(cell == lowest, 1).otherwise(start_of(cell + 1)),
+        }).withColumns({
+            f"{side}_from": F.greatest(order_code(low), f"{side}_begin"),
+            f"{side}_to": F.least(order_code(high) + 1, F.col(f"{side}_end")),
+        }).where(f"{side}_from < {side}_to")
+    place = ["id", "duration_cell", "distance_cell"]
+    # Each box changes what is covered at one of its ends; before it, if it begins with the cell.
+    bottom, top = (F.col(f"distance_{a}") == F.col(f"distance_{b}")
+                   for a, b in (("from", "begin"), ("to", "end")))
+    left = F.col("duration_from") == F.col("duration_begin")
+    rises, falls = F.when(bottom, F.col("distance_to")), F.when(top, F.col("distance_from"))
+    turns = boxes.select(
+        *place, *MEASURES, "duration_begin", "duration_end", "distance_begin", "distance_end",
+        F.inline(F.array(
+            F.struct(F.when(left, F.col("duration_to")).otherwise(F.col("duration_from")).alias("at"),
+                     F.when(left, rises).alias("up_before"), F.when(~left, rises).alias("up_from"),
+                     F.when(left, falls).alias("down_before"),
+                     F.when(~left, falls).alias("down_from")),
+            F.struct(F.col("duration_begin").alias("at"), *[F.lit(None).cast("bigint").alias(c) for c in (
+                "up_before", "up_from", "down_before", "down_from")]))))
+    turns = turns.groupBy(*place, "at").agg(
+        *[F.max(c).alias(c) for c in (*MEASURES, "duration_end", "distance_begin", "distance_end",
+                                      "up_before", "up_from")],
+        *[F.min(c).alias(c) for c in ("down_before", "down_from")])
+    order = Window.partitionBy(*place).orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    slabs = turns.select(
+        *MEASURES, F.col("at").alias("u_from"), "distance_begin", "distance_end",
+        F.coalesce(F.lead("at").over(order), "duration_end").alias("u_to"),
+        F.greatest(F.max("up_from").over(so_far), F.max("up_before").over(later)).alias("up"),
+        F.least(F.min("down_from").over(so_far), F.min("down_before").over(later)).alias("down"),
+    ).where("u_from < u_to")
+    begin, end, up, down = (F.col(c) for c in ("distance_begin", "distance_end", "up", "down"))
+    pieces = slabs.select(*MEASURES, "u_from", "u_to", F.inline(F.filter(F.array(
+        F.struct(begin.alias("v_from"), F.when(up >= down, end).otherwise(up).alias("v_to")),
+        F.struct(F.when(up >= down, None).otherwise(down).alias("v_from"), end.alias("v_to"))),
+        lambda p: p["v_from"] < p["v_to"])))
+    corners = pieces.select(*MEASURES, F.inline(F.array(*[
+        F.struct(F.col(f"u_{a}").alias("u"), F.col(f"v_{b}").alias("v"),
+                 F.lit(1 if a == b else -1).alias("sign"))
+        for a in ("from", "to") for b in ("from", "to")])))
+    signed = corners.select("u", "v", *[
+        (F.col("sign") * F.col(m)).cast("decimal(38,6)" if m == "sum_price" else "bigint").alias(m)
+        for m in MEASURES])
+    return _summed(signed, "u", "v").where(" OR ".join(f"{m} <> 0" for m in MEASURES))
+
+
+def _coded(points: DataFrame) -> DataFrame:
+    return points.select(order_code(F.col("booked_duration")).alias("u"),
+                         order_code(F.col("booked_distance")).alias("v"), *MEASURES)
+
+
+def _ends_of_bands(queries: DataFrame, tolerance: float) -> DataFrame:
+    """The corners (u, v) of each query's band, with signs."""
+    bands = queries.withColumns(
         {**_band("booked_duration", tolerance), **_band("booked_distance", tolerance)}
     ).where("booked_duration_from < booked_duration_to "
-            "AND booked_distance_from < booked_distance_to"), "bands", folder)
-
-    def rank_table(side: str) -> DataFrame:
-        """How many distinct codes of the points lie below each code that is asked for."""
-        known = points.select(F.col(f"{side}_code").alias("code")).distinct().withColumn(
-            "one", F.lit(1).cast("bigint"))
-        asked = points.select(F.col(f"{side}_code").alias("code")).union(
-            ranged.select(f"booked_{side}_from")).union(ranged.select(f"booked_{side}_to"))
-        return written(sums_before(known, asked, "code", ["one"]).select(
-            "code", F.col("before_one").alias("rank")), f"band-{side}-ranks", folder)
-
-    ranks, places = rank_table("duration"), rank_table("distance")
-    known = points.select("duration_code").distinct()
-    top = known.agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("levels"))
-
-    def ranked(df: DataFrame, code: str, rank: str, table: DataFrame) -> DataFrame:
-        return df.join(table.toDF(code, rank), code)
-
-    tree = _summed(
-        ranked(ranked(points, "duration_code", "rank", ranks), "distance_code", "place", places)
-        .withColumn("level", F.explode(F.sequence(F.lit(0), top.scalar()))),
-        "level", F.expr("shiftright(rank, level)").alias("node"), "place")
-    cover = ranked(ranked(ranged, "booked_distance_from", "p_from", places),
-                   "booked_distance_to", "p_to", places).where("p_from < p_to")
-    cover = (
-        ranked(ranked(cover, "booked_duration_from", "r_from", ranks),
-               "booked_duration_to", "r_to", ranks)
-        .where("r_from < r_to")
-        .withColumn("level", F.explode(F.sequence(F.lit(0), top.scalar())))
-        # The whole nodes of this level inside [r_from, r_to): those a coarser level does not take.
-        .withColumn("first", F.expr("shiftright(r_from + shiftleft(1L, level) - 1, level)"))
-        .withColumn("last", F.expr("shiftright(r_to, level)"))
-        .where("first < last")
-        .withColumn("node", F.explode(F.array_compact(F.array(
-            F.when(F.col("first") % 2 == 1, F.col("first")),
-            F.when(F.col("last") % 2 == 1, F.col("last") - 1)))))
-    )
-    ends = cover.select(
-        "booked_duration", "booked_distance", "level", "node", F.inline(F.array(
-            F.struct(F.col("p_from").alias("place"), F.lit(-1).alias("sign")),
-            F.struct(F.col("p_to").alias("place"), F.lit(1).alias("sign")))))
-    # Places are numbers of distinct distances: two digits hold 2**44 of them.
-    prefix = sums_before(tree, ends, "place", MEASURES, ["level", "node"], levels=2)
-    return ends.join(prefix, ["level", "node", "place"]).groupBy(
-        "booked_duration", "booked_distance"
-    ).agg(*[F.sum(F.col("sign") * F.col(f"before_{m}")).alias(m) for m in MEASURES])
+            "AND booked_distance_from < booked_distance_to")
+    return bands.select(*SIDES, F.inline(F.array(*[
+        F.struct(F.col(f"booked_duration_{a}").alias("u"), F.col(f"booked_distance_{b}").alias("v"),
+                 F.lit(1 if a == b else -1).alias("sign"))
+        for a in ("from", "to") for b in ("from", "to")])))
+
+
+def _places_in_boxes(queries: DataFrame) -> DataFrame:
+    """Each query as the corner behind itself; below zero bands are empty."""
+    return queries.where(" AND ".join(f"{c} >= 0" for c in SIDES)).select(
+        *SIDES, (order_code(F.col("booked_duration")) + 1).alias("u"),
+        (order_code(F.col("booked_distance")) + 1).alias("v"), F.lit(1).alias("sign"))
+
+
+def _signed_sums(ends: DataFrame, found: DataFrame) -> DataFrame:
+    return ends.join(found, ["u", "v"]).groupBy(*SIDES).agg(
+        *[F.sum(F.col("sign") * F.col(m)).alias(m) for m in MEASURES])
+
+
+def band_sums(points: DataFrame, queries: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Sums of the points in the band of each (booked_duration, booked_distance) query.
+
+    Bands feed several branches, so they are written out once.
+    """
+    ends = written(_ends_of_bands(queries, tolerance), "bands")
+    return _signed_sums(ends, dominance_sums(_coded(points), ends, MEASURES, purpose="band"))
+
+
+def _repeated_sums(points: DataFrame, queries: DataFrame, tolerance: float) -> DataFrame:
+    """Sums over the ids with several shapes of which any lies in the band, each id once."""
+    corners = written(box_corners(points, tolerance), "band-boxes")
+    ends = written(_places_in_boxes(queries), "band-places")
+    return _signed_sums(ends, dominance_sums(corners, ends, MEASURES, purpose="boxes"))
+
+
+class BandIndex:
+    """The auction points of the past in a folder, for bookings that come in a few at a time.
+
+    ``append`` takes ``auction_points``; the ids of bookings must be new ones, as an id that came
+    before counts again. Points of one shape and the corners of repeated ids are kept apart.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tolerance: float = TOLERANCE):
+        self.tolerance = tolerance
+        self.plain = DominanceIndex(spark, f"{folder}/plain", MEASURES)
+        self.boxes = DominanceIndex(spark, f"{folder}/boxes", MEASURES)
+
+    def append(self, points: DataFrame) -> None:
+        self.plain.append(_coded(points.where("repeated IS NULL")))
+        repeated = points.where("repeated IS NOT NULL")
+        if not repeated.isEmpty():
+            self.boxes.append(box_corners(repeated, self.tolerance))
+
+    def sums(self, queries: DataFrame, folder: str) -> DataFrame:
+        """The sums of each distinct query's band, from what it looks up in the index."""
+        parts = []
+        for name, index, ends in (
+                ("plain", self.plain, _ends_of_bands(queries, self.tolerance)),
+                ("boxes", self.boxes, _places_in_boxes(queries))):
+            ends = written(ends, f"{name}-ends", folder)
+            found = index.sums(ends, f"{folder}/{name}")
+            if found is not None:
+                parts.append(_signed_sums(ends, found))
+        nothing = [F.lit(0).cast("decimal(38,6)" if m == "sum_price" else "bigint").alias(m)
+                   for m in MEASURES]
+        none = queries.select(*SIDES, *nothing).limit(0)
+        return _summed(functools.reduce(DataFrame.unionByName, parts, none), *SIDES)
 
 
 def similar_auctions_1d(bookings: DataFrame, auctions: DataFrame,

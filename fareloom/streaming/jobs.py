@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fareloom.functions.exact import dec
 from fareloom.functions.joins import left_join_small
-from fareloom.operators.band import TOLERANCE, with_similar_auctions
+from fareloom.operators.band import TOLERANCE, BandIndex, with_indexed_auctions
 from fareloom.operators.decision import beside_supply, daily_supply, decide, with_costs
 from fareloom.operators.supply import supply_daily
 from fareloom.session import written
 
 
-def stream_decisions(bookings: DataFrame, points: DataFrame, shifts: DataFrame,
+def stream_decisions(bookings: DataFrame, points: DataFrame | BandIndex, shifts: DataFrame,
                      model: PipelineModel, out: str, checkpoint: str,
                      duration_unit: str = "min", tolerance: float = TOLERANCE,
                      trigger: dict | None = None) -> StreamingQuery:
@@ -24,16 +24,22 @@ def stream_decisions(bookings: DataFrame, points: DataFrame, shifts: DataFrame,
     ends; ``{"processingTime": "10 seconds"}`` keeps deciding what comes in. The supply of each
     day is summed once, when the job starts.
 
-    ``points`` are the similar-auction points of the past (``auction_points``), read from a
-    written table. Each batch goes to its own folder, written over on a retry, so that a batch
+    ``points`` are the similar-auction points of the past (``auction_points``), of which an index
+    is made when the job starts, or such an index, which may be added to while the job runs. A
+    batch reads from it what its bookings look up, not the points. Each batch goes to its own folder, written over on a retry, so that a batch
     replayed after a failure is not doubled.
     """
     supply = written(daily_supply(shifts), "daily-supply")
+    if isinstance(points, BandIndex):
+        index = points
+    else:
+        index = BandIndex(points.sparkSession, f"{out}-index", tolerance)
+        index.append(points)
 
     def decide_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            matched = with_similar_auctions(batch, points, tolerance, folder=f"{out}-work")
+            matched = with_indexed_auctions(batch, index, f"{out}-work")
             decisions = decide(with_costs(beside_supply(matched, supply), duration_unit), model)
             decisions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
