@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,11 +21,10 @@ from fareloom.session import written
 TREES, DEPTH = 32, 8
 #: A region of a tree with more sets than this is looked at one value deeper.
 CROWD = 32
-#: Sets of a region that meet those of another such run in one group of rows.
-BLOCK = 256
-#: Signs of the one-bit sketch, and how many of them must agree; at a similarity of 0.85, 118 do,
-#: with a deviation of 3.
-SKETCH, AGREEING = 128, 97
+#: Signs of the one-bit sketch.
+SKETCH = 128
+#: Words of 64 bits of a map of a set's differences.
+WORDS = 8
 #: Bits of the map of sets to confirm, 4 MB.
 MAP_ROWS, ROW_BITS = 1024, 32768
 
@@ -39,6 +41,17 @@ def least_depth(share: int, missed: float = 1e-5) -> int:
     return max(depths, default=1)
 
 
+def least_agreement(share: int, missed: float = 1e-7) -> int:
+    """How many signs of the sketches of two sets of that similarity agree, but for ``missed`` of
+    cases. Each sign does where the MinHash values do, and in half of the other cases."""
+    p, total = (1 + share / 100) / 2, 0.0
+    for k in range(SKETCH + 1):
+        total += math.comb(SKETCH, k) * p ** k * (1 - p) ** (SKETCH - k)
+        if total > missed:
+            return k
+    return SKETCH
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h * _A
     h = (h ^ (h >> np.uint64(32))) * _B
@@ -157,7 +170,7 @@ def _alike(left: str, right: str, share: int) -> Column:
         half = [F.conv(F.hex(F.substring(F.col(f"{s}.sketch"), a, 8)), 16, -10).cast("long")
                 for s in (left, right)]
         differing = differing + F.bit_count(half[0].bitwiseXOR(half[1]))
-    return sizes & (differing <= SKETCH - AGREEING)
+    return sizes & (differing <= SKETCH - least_agreement(share))
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -234,13 +247,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
 
     Documents of one set are one node. A forest of ``TREES`` sorted orders of MinHash signatures
     gives candidates: sets with a common prefix of ``least_depth`` values, or of one more where a
-    region holds more than ``CROWD``. In each region every set is compared with the first and with its
-    neighbour in the order; regions that the links found leave in several components have their
-    remaining pairs across components compared, all of them, dealt by pairs of runs of ``BLOCK``.
-    Sizes and one-bit sketches rule pairs out, and the full sets of 48-bit hashes confirm them.
-    Neither pairs of a group nor its members are gathered; a group of copies is one node, and what
-    a large group of near copies leaves for the second comparison is few sets against the rest.
-    Only sets of a region that no links join cost a comparison of sketches for each pair.
+    region holds more than ``CROWD``. In each region every set is compared with the first and with
+    its neighbour in the order. Regions that the links found leave in several components are put
+    together over all trees to groups, and a set is described by what it has beyond the consensus of
+    its group (``_around_consensus``): sets far from it meet where they share one of their rarest
+    shingles, and none of those that most variants of one text have; sets near it are compared with
+    the one nearest to it, and those that are still apart where they share one of the rarest
+    differences from the consensus (``_pairs_near_consensus``). Sizes and one-bit sketches rule pairs out, and the full sets of 48-bit hashes
+    confirm them. Neither pairs of a group nor its members are gathered; a group of copies is one
+    node.
 
     A missing text, or one without words, has an empty set and is linked with nothing; shorter
     ones than ``size`` words have one shingle. Rows that repeat an id get the same component if
@@ -281,33 +296,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
 
     links = written(_confirmed(candidates, sets, share), "forest-links-1")
     roots = components(links, "forest-roots-1")
-    # Regions whose members are still apart: all their pairs across components, in blocks.
-    rooted = units.select("tree", "region", "me", F.col("me.node").alias("node")).join(
+    # Regions whose members are still apart, over all trees one group where they share a set.
+    rooted = units.select("tree", "region", "lead", "me", F.col("me.node").alias("node")).join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("tree", "region").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    by_root = Window.partitionBy("tree", "region").orderBy("root", "node")
-    open_ = written(rooted.join(apart.select("tree", "region"), ["tree", "region"]).withColumn(
-        "run", F.floor((F.row_number().over(by_root) - 1) / BLOCK)), "forest-open")
-    runs = written(open_.groupBy("tree", "region", "run").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")), "forest-runs")
-    # Roots are in order, so two runs are of one component if the ends are.
-    meets = written(
-        runs.select("tree", "region", F.col("run").alias("i"), "low").join(
-            runs.select("tree", "region", F.col("run").alias("j"), "high"), ["tree", "region"])
-        .where("i <= j and low <> high").select("tree", "region", "i", "j"), "forest-meets")
-    left = open_.select("tree", "region", F.col("run").alias("i"), F.col("me").alias("x"),
-                        F.col("root").alias("rx")).join(meets, ["tree", "region", "i"])
-    right = open_.select("tree", "region", F.col("run").alias("j"), F.col("me").alias("y"),
-                         F.col("root").alias("ry")).join(meets, ["tree", "region", "j"])
-    across = left.join(right, ["tree", "region", "i", "j"]).where(
-        "rx <> ry and (i < j or x.node < y.node)")
-    more = pairs(across, "x", "y").distinct().join(candidates, ["a", "b"], "left_anti")
-    later = written(_confirmed(written(more, "forest-candidates-2"), sets, share),
-                    "forest-links-2")
-    if not later.isEmpty():
-        joined = links.unionByName(later)
-        roots = components(joined, "forest-roots-2")
+    open_ = written(rooted.join(apart.select("tree", "region"), ["tree", "region"]), "forest-open")
+    if not open_.isEmpty():
+        groups = components(open_.where("lead.node <> node").select(
+            F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")),
+            "forest-groups").toDF("node", "group")
+        members = written(
+            open_.select("node", "me.n", "me.sketch", "root").distinct().join(groups, "node")
+            .withColumn("group", F.xxhash64("group")), "forest-members")
+        entries, near, often, elements = _around_consensus(members, sets, share)
+        far = _pairs_of(entries, ["group", "h"], share, F.col("x.far") | F.col("y.far"))
+        hubs = near.select("group", F.struct("node", "n", "sketch", "root").alias("y")).join(
+            near.groupBy("group").agg(F.max_by(F.struct("node", "n", "sketch", "root"), F.struct(
+                "slack", "node")).alias("x")), "group").where(
+            (F.col("x.root") != F.col("y.root")) & _alike("x", "y", share)).select(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        more = far.unionByName(hubs).distinct().join(candidates, ["a", "b"], "left_anti")
+        links = links.unionByName(written(_confirmed(
+            written(more, "forest-candidates-2"), sets, share), "forest-links-2"))
+        roots = components(links, "forest-roots-2")
+        close = _pairs_near_consensus(near.drop("root").join(roots, "node", "left").withColumn(
+            "root", F.coalesce("root", "node")), often, elements, share)
+        later = written(_confirmed(written(close.distinct(), "forest-candidates-3"), sets, share),
+                        "forest-links-3")
+        if not later.isEmpty():
+            roots = components(links.unionByName(later), "forest-roots-3")
 
     placed = sketched.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
@@ -322,6 +340,120 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _pairs_of(entries: DataFrame, keys: list[str], share: int, also: Column) -> DataFrame:
+    """The pairs (a, b) of sets of different roots with an entry of the same keys."""
+    sides = [entries.select(*keys, F.struct("node", "n", "sketch", "root", "far").alias(side))
+             for side in ("x", "y")]
+    return sides[0].join(sides[1], keys).where(
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & also
+        & _alike("x", "y", share)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _around_consensus(members: DataFrame, sets: DataFrame,
+                      share: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What sets of a group have beyond what most of them have.
+
+    The consensus of a group is the shingles that more than half of its sets have. Two sets have at
+    most as many of those in common as the smaller number that either has. A set is far if that is
+    too few for any partner; it then shares, with each set that it is linked with, so many of its
+    other shingles, and with the rarest of them as prefix at least one. Gives the ``entries`` of
+    these prefixes, for far sets, and all other shingles of the near ones, but for those that no
+    second root has; the ``near`` sets with their ``slack``, which is largest for the one that
+    differs least from the consensus; how often a group has each shingle; and all shingles.
+    """
+    target = to_arrow_schema(schema := T._parse_datatype_string("group long, node binary, h long"))
+
+    def unfold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                low = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint8).reshape(-1, 6)
+                h = np.pad(low, ((0, 0), (0, 2))).view("<i8").ravel()
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(batch.column(0)[k], len(h)), pa.repeat(batch.column(1)[k], len(h)),
+                    pa.array(h)], schema=target)
+
+    elements = written(members.select("group", "node").join(sets, "node").select(
+        "group", "node", "shingles").mapInArrow(unfold, schema), "forest-elements")
+    sizes = members.groupBy("group").agg(F.count("*").alias("sets"))
+    often = written(elements.groupBy("group", "h").agg(F.count("*").alias("f")).join(
+        sizes, "group").withColumn("common", 2 * F.col("f") > F.col("sets")), "forest-often")
+    consensus = often.where("common").groupBy("group").agg(F.count("*").alias("p"))
+    marked = elements.join(often.select("group", "h", "f", "common"), ["group", "h"])
+    counts = marked.groupBy("node").agg(F.count_if("common").alias("k"))
+    known = written(
+        members.join(counts, "node").join(consensus, "group", "left")
+        .withColumn("lacks", F.ceil(F.col("n") * share / 100.0 - 1e-9) - F.col("k"))
+        .withColumn("far", F.col("lacks") >= 1)
+        # Shingles of the prefix that are not in the consensus.
+        .withColumn("prefix", F.col("n") - F.col("k") + 1 - F.greatest("lacks", F.lit(1)))
+        .withColumn("slack", F.col("n") * ((100 - share) / (100 + share)) - (
+            F.col("n") + F.coalesce("p", F.lit(0)) - 2 * F.col("k"))), "forest-known")
+    rarest = Window.partitionBy("node").orderBy("f", "h")
+    own = marked.where("not common").withColumn("turn", F.row_number().over(rarest)).where("f > 1")
+    prefixes = written(own.join(known, ["group", "node"]).where("turn <= prefix").select(
+        "group", "h", "node", "n", "sketch", "root", "far"), "forest-prefixes")
+    mixed = prefixes.groupBy("group", "h").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max("far").alias("any")).where(
+        "low <> high and any").select("group", "h")
+    return prefixes.join(mixed, ["group", "h"]), known.where("not far"), often, elements
+
+
+def _pairs_near_consensus(near: DataFrame, often: DataFrame, elements: DataFrame,
+                          share: int) -> DataFrame:
+    """The pairs (a, b) of different roots among sets near the consensus of their group.
+
+    Two sets x and y differ in as many shingles as their differences D from the consensus do, and
+    may differ in (100 - share) / (100 + share) of the sum of their sizes. A set's ``slack`` is its
+    part of that less the size of its D. If the slacks of a pair add up to 0 or more it is linked,
+    and either set is also linked with the one of the largest slack, which all have been compared
+    with. Otherwise the two D share at least half of what is lacking, so that both have one of
+    the rarest shingles of their D in common, of which those behind what is lacking at least, if
+    the other set had the largest slack, may be left out. How many of all of D they share is
+    bounded by maps of 512 bits.
+    """
+    had = elements.join(near.select("node"), "node", "left_semi").join(
+        often.select("group", "h", "common"), ["group", "h"])
+    missed = near.select("group", "node").join(often.where("common").select("group", "h"), "group") \
+        .join(had.where("common").select("node", "h"), ["node", "h"], "left_anti")
+    different = written(had.where("not common").select("group", "node", "h").unionByName(
+        missed.select("group", "node", "h")), "forest-differences")
+    best = near.groupBy("group").agg(F.max("slack").alias("best"))
+    lacking = F.ceil(-(F.col("slack") + F.col("best")) / 2 - 1e-9)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    word = F.pmod(F.shiftright("h", 6), F.lit(WORDS))
+    sizes = different.groupBy("node").agg(F.count("*").alias("size"), F.array(*[
+        F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("long"))
+        for w in range(WORDS)]).alias("map"))
+    known = near.join(best, "group").join(sizes, "node").withColumn(
+        "prefix", F.col("size") + 1 - F.greatest(lacking, F.lit(1)))
+    rarity = different.groupBy("group", "h").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("node").orderBy("f", "h")
+    prefixes = written(
+        different.join(rarity, ["group", "h"]).withColumn("turn", F.row_number().over(rarest))
+        .where("f > 1").join(known, ["group", "node"]).where("turn <= prefix")
+        .select("group", "h", F.struct("node", "n", "sketch", "root", "slack", "size", "map")
+                .alias("me")), "forest-near-prefixes")
+    mixed = prefixes.groupBy("group", "h").agg(
+        F.min("me.root").alias("low"), F.max("me.root").alias("high")).where("low <> high")
+    mixed = prefixes.join(mixed.select("group", "h"), ["group", "h"])
+
+    def bits(*maps: str) -> Column:
+        """Bits that are set in all of the maps."""
+        words = [[F.get(f"{m}.map", F.lit(w)) for m in maps] for w in range(WORDS)]
+        return functools.reduce(operator.add, [F.bit_count(
+            functools.reduce(Column.bitwiseAND, own)) for own in words])
+
+    # As many as they may share: common bits, and what may hide behind bits of its own set.
+    common = bits("x", "y") + F.least(
+        F.col("x.size") - bits("x"), F.col("y.size") - bits("y"))
+    lacking = -(F.col("x.slack") + F.col("y.slack")) / 2 - 1e-9
+    return mixed.withColumnRenamed("me", "x").join(mixed.withColumnRenamed("me", "y"), [
+        "group", "h"]).where(
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        & (common >= lacking) & _alike("x", "y", share)).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _sets_of(docs: DataFrame, text: str, size: int, bitmap: DataFrame) -> DataFrame:
     """node and its shingles' hashes, six bytes each, for the nodes whose bit in the map is set.
 

@@ -87,16 +87,14 @@ def test_crowded_regions(make, corpus, monkeypatch):
     assert sorted(map(tuple, found)) == linked(rows, 3, 85)
 
 
-@pytest.mark.parametrize("block", [lsh_forest.BLOCK, 16])
-def test_variants_linked_with_their_base_only(make, monkeypatch, block):
+def test_variants_linked_with_their_base_only(make):
     """A star whose rays are not linked with each other, in regions far over CROWD."""
     import random
 
-    monkeypatch.setattr(lsh_forest, "BLOCK", block)
     rng = random.Random(11)
     base = [f"b{k}" for k in range(400)]
     rows = [(0, " ".join(base))]
-    for i in range(1, 1001 if block > 16 else 201):
+    for i in range(1, 1001):
         words = list(base)
         for k in rng.sample(range(1, 100), 10):
             words[4 * k - 2] = f"v{i}x{k}"
@@ -108,6 +106,46 @@ def test_variants_linked_with_their_base_only(make, monkeypatch, block):
     assert sorted(map(tuple, found)) == [(i, 398, 0, i == 0) for i, _ in rows]
 
 
+@pytest.mark.parametrize("share, least, most", [(50, 0.5, 0.62), (70, 0.7, 0.8), (85, 0.85, 0.9)])
+def test_links_at_each_share(make, share, least, most):
+    """Pairs of texts a little above the share, all of them found."""
+    import random
+
+    rng = random.Random(share)
+    rows, linked_pairs = [], 0
+    while linked_pairs < 60:
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(150)]
+        other = list(words)
+        for k in rng.sample(range(150), rng.randrange(1, 30)):
+            other[k] = f"w{rng.randrange(10 ** 9)}"
+        a, b = (shingles(" ".join(t), 3) for t in (words, other))
+        if least <= len(a & b) / len(a | b) < most:
+            rows += [(2 * linked_pairs, " ".join(words)), (2 * linked_pairs + 1, " ".join(other))]
+            linked_pairs += 1
+    found = lsh_forest.near_duplicates(make(rows), size=3, share=share).collect()
+    assert sum(r.kept for r in found) == linked_pairs
+
+
+def test_variants_of_a_text_that_is_missing(make):
+    """All near each other and to what most of them have; only a few are linked."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(200), 3 if i % 4 == 0 else rng.randrange(5, 12)):
+            words[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*words[:-1], "end"])))
+    found = lsh_forest.near_duplicates(make(rows), size=3, share=85).collect()
+    expected = linked(rows, 3, 85)
+    assert 10 < sum(e[3] for e in expected) < len(rows) - 16
+    assert sorted(map(tuple, found)) == expected
+
+
 def test_near_copies_without_rows_or_ids(make):
     assert lsh_forest.near_duplicates(make([(1, "a")]).where("false")).collect() == []
     rows = lsh_forest.near_duplicates(make([(None, "a b c d"), (4, "A b c d"), (5, "")]), size=3)
