@@ -4,7 +4,9 @@
 to?". A single running window would put a whole group (or, without keys, the whole table) in one
 task. Here the code is cut into 22-bit digits: a window only ever orders the at most 4,194,304
 distinct digits that share all higher digits, and the digits' sums are added up by a join.
-Distribution statistics, rank comparisons and band joins are all built on it.
+Rank comparisons and band joins are built on it.
+
+``quantiles`` narrows down where its ranks lie, and orders no more than the sums that tell that.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fareloom.session import written
-
 DIGIT_BITS = 22
 #: Digits that 64-bit codes are cut into.
 LEVELS = 3
@@ -91,42 +91,79 @@ def sums_before(points: DataFrame, probes: DataFrame, code: str, measures: Seque
     ])
 
 
+def from_code(code: Column) -> Column:
+    """The double that has the ``order_code``."""
+    size = F.abs(code)
+    power, rest = F.shiftright(size, 52), size.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    half = F.floor((power - 1023) / 2)
+    normal = (1 + rest / F.lit(_MANTISSA)) * F.pow(F.lit(2.0), half) * F.pow(
+        F.lit(2.0), power - 1023 - half)
+    value = F.when(power == 0, rest * F.lit(2.0 ** -537) * F.lit(2.0 ** -537)).when(
+        power == 2047, F.lit(float("inf"))).otherwise(normal)
+    return value * F.when(code < 0, -1.0).otherwise(1.0)
+
+
+#: Low bits of a code that each step of a selection leaves open; the last leaves none.
+STEPS = (42, 20, 0)
+
+
+def selected(cells: DataFrame, ranks: Column) -> DataFrame:
+    """Rows ``metric, n, values``: the values at some ranks of each metric, counted from 0.
+
+    ``cells`` has a row per metric and ``code`` with its weight ``w``; ``ranks`` is an array over
+    ``n``, the metric's total. The weights are summed by the codes' highest bits, which tells where
+    each rank lies and how much of it is left; then by further bits of only those codes, and so
+    on. No step orders more than 4,194,304 sums, and only the first sees all codes.
+    """
+    found = None
+    for low in STEPS:
+        digits = F.shiftright("code", low).alias("digits")
+        if found is None:
+            keys, rows = ["metric"], cells.groupBy("metric", digits).agg(F.sum("w").alias("w"))
+        else:
+            # A row per metric and rank: the metrics and ranks are named in the call.
+            keys = ["metric", "slot", "rank", "n"]
+            rows = cells.withColumn("above", F.shiftright("code", above)).join(
+                F.broadcast(found), ["metric", "above"]).groupBy(*keys, digits).agg(
+                F.sum("w").alias("w"))
+        order = Window.partitionBy(*keys).orderBy("digits")
+        rows = rows.withColumn("before", F.coalesce(F.sum("w").over(
+            order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if found is None:
+            rows = rows.withColumn("n", F.sum("w").over(Window.partitionBy("metric"))).select(
+                "*", F.posexplode(ranks).alias("slot", "rank"))
+        found = rows.where("before <= rank AND rank < before + w").select(
+            "metric", "slot", (F.col("rank") - F.col("before")).alias("rank"), "n",
+            F.col("digits").alias("above"))
+        above = low
+    return found.groupBy("metric").agg(F.max("n").alias("n"), F.transform(
+        F.sort_array(F.collect_list(F.struct("slot", "above"))),
+        lambda s: from_code(s["above"])).alias("values"))
+
+
 def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float],
               weight: Column | None = None) -> DataFrame:
     """Rows ``metric, n, q``: exact quantiles of each value, interpolated between ranks.
 
     A weight counts a row as that many rows. NULL values are left out; a metric without any value
-    has no row. The distinct values are read several times and written once.
+    has no row. ``df`` is read once: its distinct values are shuffled, and all steps of the
+    selection start from there.
     """
-    cells = written(df.select(
+    cells = df.select(
         (weight if weight is not None else F.lit(1)).cast("bigint").alias("w"),
         F.inline(F.array(*[
             F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
             for name, value in values.items()
         ])),
-    ).where("value IS NOT NULL").groupBy("metric", order_code(F.col("value")).alias("code")).agg(
-        F.sum("w").alias("w"), F.max("value").alias("value")), "quantile-cells")
-    # One row per metric, and the metrics are named in the call: small for sure.
-    totals = F.broadcast(cells.groupBy("metric").agg(F.sum("w").alias("n")))
-    ranked = (
-        cells.join(sums_before(cells, cells, "code", ["w"], ["metric"]), ["metric", "code"])
-        .join(totals, "metric")
-    )
-
-    def value_at(rank: Column) -> Column:
-        inside = (F.col("before_w") <= rank) & (rank < F.col("before_w") + F.col("w"))
-        return F.max(F.when(inside, F.col("value")))
-
-    cuts = []
-    for p in probabilities:
-        position = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        low, high = F.floor(position), F.ceil(position)
-        cuts.append(F.struct(
-            value_at(low).alias("low"), value_at(high).alias("high"),
-            F.max(position - low).alias("part")))
-    return ranked.groupBy("metric").agg(F.max("n").alias("n"), F.array(*cuts).alias("cuts")).select(
-        "metric", "n",
-        F.transform("cuts", _between).alias("q"))
+    ).where("value IS NOT NULL AND w > 0").groupBy(
+        "metric", order_code(F.col("value")).alias("code")).agg(F.sum("w").alias("w"))
+    positions = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probabilities]
+    ranks = F.array(*[end.cast("bigint") for p in positions for end in (F.floor(p), F.ceil(p))])
+    return selected(cells, ranks).select("metric", "n", F.array(*[
+        _between(F.struct(F.get("values", F.lit(2 * k)).alias("low"),
+                          F.get("values", F.lit(2 * k + 1)).alias("high"),
+                          (p - F.floor(p)).alias("part")))
+        for k, p in enumerate(positions)]).alias("q"))
 
 
 def _between(cut: Column) -> Column:

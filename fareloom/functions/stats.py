@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fareloom.functions.exact import dec, half_even, ratio, std
 from fareloom.functions.ordered import quantile_row, quantiles
-from fareloom.session import written
 
 
 def statistic_matrix(df: DataFrame, columns: Mapping[str, Column],
@@ -98,17 +97,26 @@ def box_summary(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def rough_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The means of the columns, a number for each, 0 for what has none."""
+    row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    means = {c: float(row[c] or 0.0) for c in columns}
+    return {c: m if np.isfinite(m) else 0.0 for c, m in means.items()}
+
+
+def correlation(df: DataFrame, columns: Sequence[str],
+                centres: Mapping[str, float] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(a, b, r)``, each pair over the rows where both are known.
 
-    A constant column has no correlation: r is NULL, also with itself. The columns are written
-    out once and centred on their means, so that sums of products do not cancel. Those sums are
-    matrix products of Arrow batches; a partition passes on one row per pair of columns.
+    A constant column has no correlation: r is NULL, also with itself. Numbers are taken less
+    ``centres``, values near the columns' means, so that sums of products do not cancel; any such
+    values give the same result. Without them the means are computed first. ``df`` is then read
+    once, and nothing of it is written. The sums are matrix products of Arrow batches; a
+    partition passes on one row per pair of columns.
     """
-    numbers = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "numbers")
-    means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in columns]))
-    centred = numbers.withColumn("means", means.scalar()).select(
-        *[(F.col(c) - F.col("means").getField(c)).alias(c) for c in columns])
+    near = rough_means(df, columns) if centres is None else centres
+    centred = df.select(*[
+        (F.col(c).cast("double") - F.lit(near.get(c, 0.0))).alias(c) for c in columns])
     sums = centred.mapInPandas(
         _pair_sums, "a string, b string, n long, sa double, sb double, sab double, saa double, "
                     "sbb double"

@@ -10,7 +10,7 @@ from fareloom.functions.exact import ratio
 from fareloom.functions.joins import left_join_small
 from fareloom.functions.keys import key_names, null_key
 from fareloom.functions.scalars import weekday_name
-from fareloom.functions.stats import correlation, numeric_columns
+from fareloom.functions.stats import correlation, numeric_columns, rough_means
 from fareloom.operators.auctions import PRICE, weighted_mean, repeated, keyed_auctions, timed_auctions
 
 START = "booked_start_at"
@@ -116,4 +116,11 @@ def correlation_matrix(bookings: DataFrame, auctions: DataFrame, weather: DataFr
                        calendar: DataFrame | None,
                        columns: Sequence[str] | None = None) -> DataFrame:
     merged = merged_context(bookings, auctions, weather, calendar)
-    return correlation(merged, list(columns or numeric_columns(merged, IDENTIFIERS)))
+    columns = list(columns or numeric_columns(merged, IDENTIFIERS))
+    # Joins repeat and leave out rows; the means before them are near enough.
+    centres: dict[str, float] = {}
+    for table in (bookings.withColumn("hour_of_day", F.hour(START)), auctions, weather, calendar):
+        own = [c for c in columns if table is not None and c in table.columns and c not in centres]
+        if own:
+            centres |= rough_means(table, own)
+    return correlation(merged, columns, centres)

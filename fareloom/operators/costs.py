@@ -149,22 +149,20 @@ def cost_diff_by_duration_quantile(bookings: DataFrame, auctions: DataFrame, shi
     ).groupBy("booked_duration").agg(
         F.sum("rows").alias("rows"), F.sum("n_diff").alias("n_diff"),
         F.sum("sum_diff").alias("sum_diff")), "duration-cells")
-    edges = written(quantile_row(
+    # As many edges as bins and one more, so that they can be named in the plan.
+    edges = quantile_row(
         by_duration, F.col("booked_duration"), [i / bins for i in range(bins + 1)],
-        F.col("rows")).select(F.array_distinct("q").alias("edges")), "duration-edges")
+        F.col("rows")).select(F.array_distinct("q")).first()[0] or []
     value = F.col("booked_duration")
     # Bin i is (edge[i], edge[i+1]]; the first also holds its lower edge.
-    below = F.size(F.filter("edges", lambda e: e < value))
-    binned = by_duration.withColumn("edges", edges.scalar()).groupBy(
-        F.greatest(below - 1, F.lit(0)).alias("bin")
-    ).agg(half_even(_mean_difference(divisor)).alias("avg_cost_diff"))
-    axis = edges.where(F.size("edges") > 1).select(
-        F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"), "edges"
-    ).select(
-        "bin",
-        (F.get("edges", F.col("bin")) / F.lit(float(divisor))).alias("duration_from"),
-        (F.get("edges", F.col("bin") + 1) / F.lit(float(divisor))).alias("duration_to"),
-    )
+    number = F.lit(0)
+    for i, edge in enumerate(edges[1:-1], start=1):
+        number = F.when(value > F.lit(edge), F.lit(i)).otherwise(number)
+    binned = by_duration.groupBy(number.alias("bin")).agg(
+        half_even(_mean_difference(divisor)).alias("avg_cost_diff"))
+    axis = by_duration.sparkSession.createDataFrame(
+        [(i, low / divisor, high / divisor) for i, (low, high) in enumerate(zip(edges, edges[1:]))],
+        "bin int, duration_from double, duration_to double")
     return axis.join(binned, "bin", "left")
 
 

@@ -6,10 +6,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from fareloom.functions.exact import half_even, mean, std
+from fareloom.functions.exact import dec, half_even, mean, ratio
 from fareloom.functions.keys import key_names, null_key
 from fareloom.functions.scalars import grid_cell
 from fareloom.operators.auctions import PRICE, weighted_mean, repeated, keyed_auctions
+from fareloom.session import written
 from fareloom.sources.schema import require
 
 COORDINATES = ("pickup_longitude", "pickup_latitude", "dropoff_longitude", "dropoff_latitude")
@@ -71,21 +72,43 @@ def price_map_centre(bookings: DataFrame, auctions: DataFrame) -> DataFrame:
 
 
 def fit_clusters(points: DataFrame, longitude: str, latitude: str, k: int = 5,
-                 seed: int = 42) -> tuple[KMeansModel, DataFrame]:
-    """K-means over coordinates; returns the model and the points with their cluster."""
+                 seed: int = 42, weight: str | None = None) -> tuple[KMeansModel, DataFrame]:
+    """K-means over coordinates; returns the model and the points with their cluster.
+
+    A ``weight`` counts a row as that many points. The fit reads its input once for each
+    iteration, so ``points`` should be a written table.
+    """
     assembler = VectorAssembler(inputCols=[longitude, latitude], outputCol="point")
     placed = assembler.transform(points.dropna(subset=[longitude, latitude]))
-    model = KMeans(k=k, seed=seed, featuresCol="point", predictionCol="cluster").fit(placed)
+    means = KMeans(k=k, seed=seed, featuresCol="point", predictionCol="cluster")
+    model = (means.setWeightCol(weight) if weight else means).fit(placed)
     return model, model.transform(placed).drop("point")
 
 
 def pickup_clusters(bookings: DataFrame, auctions: DataFrame, k: int = 3,
                     seed: int = 42) -> DataFrame:
-    _, placed = fit_clusters(
-        auctioned(bookings, auctions), "pickup_longitude", "pickup_latitude", k, seed)
-    return placed.groupBy("cluster").agg(
-        half_even(mean(PRICE)).alias("price_mean"),
-        F.count(PRICE).alias("price_count"),
-        half_even(std(PRICE)).alias("price_std"),
-        F.count("*").alias("points"),
-    )
+    """Prices of auctioned bookings by cluster of pickup places.
+
+    The join runs once, summed to a row for each place and price with its number of points, and
+    it is these that are clustered.
+    """
+    cells = written(
+        auctioned(bookings, auctions).dropna(subset=["pickup_longitude", "pickup_latitude"])
+        .groupBy("pickup_longitude", "pickup_latitude", PRICE).agg(F.count("*").alias("n")),
+        "pickup-cells")
+    places = written(cells.groupBy("pickup_longitude", "pickup_latitude").agg(
+        F.sum("n").alias("n")), "pickup-places")
+    _, placed = fit_clusters(places, "pickup_longitude", "pickup_latitude", k, seed, "n")
+    price = F.col(PRICE)
+    known = cells.join(placed.drop("n"), ["pickup_longitude", "pickup_latitude"]).withColumn(
+        "priced", F.when(price.isNotNull(), F.col("n"))).withColumn(
+        "total", dec(price) * F.col("priced"))
+    sums = known.groupBy("cluster").agg(
+        ratio(F.sum("total"), F.sum("priced")).alias("mean"),
+        F.coalesce(F.sum("priced"), F.lit(0)).alias("price_count"), F.sum("n").alias("points"))
+    spread = known.join(sums.select("cluster", "mean"), "cluster").groupBy("cluster").agg(
+        F.bround(F.sqrt(ratio(F.sum(F.col("priced") * F.pow(price - F.col("mean"), F.lit(2))),
+                              F.sum("priced") - 1)), 6).alias("std"))
+    return sums.join(spread, "cluster").select(
+        "cluster", half_even(F.col("mean")).alias("price_mean"), "price_count",
+        half_even(F.col("std")).alias("price_std"), "points")

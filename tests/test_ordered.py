@@ -37,6 +37,33 @@ def test_weighted_quantiles(spark):
     assert row.q == pytest.approx(list(np.quantile([1, 1, 1, 2, 9, 9, 9, 9], [0.1, 0.5, 0.6])))
 
 
+def test_codes_give_their_doubles_back(spark):
+    values = [0.0, 1.0, -1.0, 1.5, 3.141592653589793, -2.5e-7, 1e300, 5e-324, 2.2250738585072014e-308,
+              1.7976931348623157e308, float("inf"), -1e-310, 0.1, 1 / 3, 123456.789]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn(
+        "code", ordered.order_code(F.col("v")))
+    rows = df.withColumn("back", ordered.from_code(F.col("code"))).collect()
+    assert all(r.back == r.v for r in rows) and len({r.code for r in rows}) == len(values)
+    assert [r.v for r in sorted(rows, key=lambda r: r.code)] == sorted(values)
+
+
+def test_quantiles_of_close_values_and_several_metrics(spark):
+    """Values that share all but their last bits, and one that has most of the weight."""
+    rng = random.Random(13)
+    close = [1.0 + k * 2.0 ** -52 for k in rng.sample(range(5000), 400)]
+    rows = [(c, rng.uniform(-5, 5), rng.choice([0, 1, 2, 900 if k == 7 else 3]))
+            for k, c in enumerate(close)]
+    probabilities = [0.0, 0.013, 0.3, 0.5, 0.77, 1.0]
+    out = ordered.quantiles(spark.createDataFrame(rows, "a double, b double, w long"), {
+        "a": F.col("a"), "b": F.col("b")}, probabilities, F.col("w")).collect()
+    for r in out:
+        side = 0 if r.metric == "a" else 1
+        values = [row[side] for row in rows for _ in range(row[2])]
+        assert r.n == len(values)
+        assert r.q == pytest.approx(list(np.quantile(values, probabilities)), abs=1e-15)
+    assert len(out) == 2
+
+
 def test_quantiles_of_nothing(spark):
     assert ordered.quantile_row(
         spark.createDataFrame([], "v double"), F.col("v"), [0.5]).collect()[0].q is None
