@@ -12,6 +12,8 @@ from fareloom.operators import (
     auctions as A, balance as B, band, cleaning, context, costs, decision, demand as D, geo,
     profile, seasonality as S, supply as U, utilization as Z)
 from fareloom.session import shared_folder, written
+from fareloom.sources.marketplace import Marketplace
+from fareloom.sources.sinks import write_results
 from fareloom.sources.tables import EVENTS, DerivedMarketplace, bookings_of
 from fareloom.streaming import jobs
 
@@ -47,6 +49,27 @@ def _describe_daily(m: DerivedMarketplace) -> DataFrame:
     return supply.unionByName(demand)
 
 
+def _supply_from_csv(m: DerivedMarketplace) -> DataFrame:
+    """Daily supply of shifts that were written as CSV and read back."""
+    path = shared_folder(m.spark, "csv")
+    tables = {"shifts": m.shifts.drop("hourly_rate_raw"), "bookings": m.bookings,
+              "auctions": m.auctions}
+    write_results(tables, path)
+    read = Marketplace.from_csv(m.spark, **{name: f"{path}/{name}" for name in tables})
+    return U.supply_daily(read.shifts)
+
+
+def _long_shifts(m: DerivedMarketplace) -> DataFrame:
+    """Shifts so long that driven time stays below them."""
+    return m.shifts.withColumn("shift_working_hours", F.col("shift_working_hours") * 10)
+
+
+def _one_duration(m: DerivedMarketplace) -> DataFrame:
+    """The report by duration where all bookings last half an hour, which leaves no bins."""
+    return costs.cost_diff_by_duration(
+        m.bookings.withColumn("booked_duration", F.lit(1800.0)), m.auctions, m.shifts)
+
+
 def _own_duration(m: DerivedMarketplace) -> DataFrame:
     """Auctions that carry the duration of their booking."""
     key = key_names("booking_uuid")
@@ -130,6 +153,10 @@ ANALYSES: dict[str, Analysis] = {
     "utilization_totals": lambda m: Z.utilization_totals(m.shifts, m.bookings),
     "top_performers": lambda m: Z.performers(m.shifts, m.bookings),
     "bottom_performers": lambda m: Z.performers(m.shifts, m.bookings, best=False),
+    "top_performers_of_long_shifts": lambda m: Z.performers(_long_shifts(m), m.bookings),
+    "bottom_performers_of_long_shifts":
+        lambda m: Z.performers(_long_shifts(m), m.bookings, best=False),
+    "supply_daily_from_csv": _supply_from_csv,
     # trip costs
     "booking_costs": lambda m: costs.booking_costs(m.bookings, m.auctions, m.shifts),
     "booking_costs_minutes":
@@ -139,6 +166,9 @@ ANALYSES: dict[str, Analysis] = {
     "cost_diff_by_hour": lambda m: costs.cost_diff_by_hour(m.bookings, m.auctions, m.shifts),
     "cost_diff_by_duration_quintile":
         lambda m: costs.cost_diff_by_duration_quantile(m.bookings, m.auctions, m.shifts),
+    "cost_diff_by_duration":
+        lambda m: costs.cost_diff_by_duration(m.bookings, m.auctions, m.shifts),
+    "cost_diff_of_one_duration": _one_duration,
     "cost_diff_summary": lambda m: costs.cost_diff_summary(m.bookings, m.auctions, m.shifts),
     "cost_summary": lambda m: costs.cost_summary(m.shifts, m.auctions),
     # distributions
@@ -230,6 +260,16 @@ def stream_supply_demand(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/days")
 
 
+def stream_corrected_days(spark: SparkSession, folder: str) -> DataFrame:
+    """All days of the stream, late bookings included."""
+    out = shared_folder(spark, "corrected-days")
+    arriving = bookings_of(jobs.read_stream(spark, f"{folder}/events.parquet", EVENTS))
+    jobs.stream_corrected_days(
+        arriving, DerivedMarketplace(spark, folder).shifts, f"{out}/days",
+        f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/days")
+
+
 def _on_tables(analysis: Analysis) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: analysis(DerivedMarketplace(spark, folder))
 
@@ -239,4 +279,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{name: _on_tables(analysis) for name, analysis in ANALYSES.items()},
         "stream_decision": stream_decision,
         "stream_supply_demand": stream_supply_demand,
+        "stream_corrected_days": stream_corrected_days,
     }

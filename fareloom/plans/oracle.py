@@ -351,11 +351,21 @@ def seasonality(where: str) -> str:
         FROM bookings WHERE {where}"""
 
 
-def performers(order: str) -> str:
-    return f"""SELECT * FROM ({BY_CHAUFFEUR}) WHERE utilization_rate > 0
+def performers(order: str, factor: int = 1) -> str:
+    by_chauffeur = BY_CHAUFFEUR.replace("FROM shifts", f"""FROM (
+        SELECT * REPLACE (shift_working_hours * {factor} AS shift_working_hours) FROM shifts)""")
+    return f"""SELECT * FROM ({by_chauffeur}) WHERE utilization_rate > 0
         AND utilization_rate <= 100 ORDER BY utilization_rate {order}, chauffeur_uuid LIMIT 5"""
 
 
+def difference_summary(differences: str) -> str:
+    return f"""
+        WITH d AS MATERIALIZED ({differences})
+        SELECT count(v) AS count, CAST(sum(CAST(v AS DECIMAL(18,6))) AS DOUBLE) / count(v) AS mean,
+               {std('v')} AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25,
+               quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max FROM d"""
+
+
 def hourly_supply(start: str) -> str:
     return f"""
         SELECT h.h AS "hour", {zero('s.hours')} AS working_hours, {zero('s.cost')} AS shift_cost,
@@ -415,6 +425,19 @@ EXPECTED = """
                     m.gross_revenue_eur * CAST(0.7 AS DOUBLE)) AS price
     FROM {source} m LEFT JOIN daily_supply s ON s.shift_date = CAST(m.booked_start_at AS DATE)"""
 
+COST_DIFF_QUINTILES = f"""
+        WITH c AS MATERIALIZED ({COSTS.format(divisor=3600)}),
+             q AS (SELECT quantile_cont(booked_duration, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM c),
+             edge AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i
+                      FROM (SELECT DISTINCT unnest(e) AS v FROM q)),
+             bin AS (SELECT a.i, a.v AS lo, b.v AS hi FROM edge a JOIN edge b ON b.i = a.i + 1)
+        SELECT CAST(bin.i AS INTEGER) AS bin, bin.lo / CAST(3600 AS DOUBLE) AS duration_from,
+               bin.hi / CAST(3600 AS DOUBLE) AS duration_to,
+               {half_even('CAST(sum(scaled_diff) AS DOUBLE) / NULLIF(count(scaled_diff), 0) / CAST(3600 AS DOUBLE)')}
+                   AS avg_cost_diff
+        FROM bin LEFT JOIN c ON (booked_duration > lo OR (bin.i = 0 AND booked_duration = lo))
+            AND booked_duration <= hi
+        GROUP BY bin.i, bin.lo, bin.hi"""
 QUERIES = {
     "supply_daily": SUPPLY_DAILY,
     "supply_daily_stats": f"""
@@ -643,6 +666,9 @@ QUERIES = {
         FROM ({BY_CHAUFFEUR})""",
     "top_performers": performers("DESC"),
     "bottom_performers": performers("ASC"),
+    "top_performers_of_long_shifts": performers("DESC", 10),
+    "bottom_performers_of_long_shifts": performers("ASC", 10),
+    "supply_daily_from_csv": SUPPLY_DAILY,
     "booking_costs": booking_costs(3600),
     "booking_costs_minutes": booking_costs(60),
     "cost_comparison_summary": f"""
@@ -661,24 +687,13 @@ QUERIES = {
                CAST(sum(scaled_diff) AS DOUBLE) / NULLIF(count(scaled_diff), 0)
                    / CAST(3600 AS DOUBLE) AS avg_cost_diff
         FROM ({COSTS.format(divisor=3600)}) GROUP BY 1""",
-    "cost_diff_by_duration_quintile": f"""
-        WITH c AS MATERIALIZED ({COSTS.format(divisor=3600)}),
-             q AS (SELECT quantile_cont(booked_duration, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM c),
-             edge AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i
-                      FROM (SELECT DISTINCT unnest(e) AS v FROM q)),
-             bin AS (SELECT a.i, a.v AS lo, b.v AS hi FROM edge a JOIN edge b ON b.i = a.i + 1)
-        SELECT CAST(bin.i AS INTEGER) AS bin, bin.lo / CAST(3600 AS DOUBLE) AS duration_from,
-               bin.hi / CAST(3600 AS DOUBLE) AS duration_to,
-               {half_even('CAST(sum(scaled_diff) AS DOUBLE) / NULLIF(count(scaled_diff), 0) / CAST(3600 AS DOUBLE)')}
-                   AS avg_cost_diff
-        FROM bin LEFT JOIN c ON (booked_duration > lo OR (bin.i = 0 AND booked_duration = lo))
-            AND booked_duration <= hi
-        GROUP BY bin.i, bin.lo, bin.hi""",
-    "cost_diff_summary": f"""
-        WITH d AS MATERIALIZED (SELECT {P} - cost AS v FROM ({COSTS.format(divisor=3600)}))
-        SELECT count(v) AS count, CAST(sum(CAST(v AS DECIMAL(18,6))) AS DOUBLE) / count(v) AS mean,
-               {std('v')} AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25,
-               quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max FROM d""",
+    "cost_diff_by_duration_quintile": COST_DIFF_QUINTILES,
+    "cost_diff_by_duration": COST_DIFF_QUINTILES,
+    "cost_diff_of_one_duration": difference_summary(
+        f"SELECT {P} - hourly_rate_eur * (CAST(1800 AS DOUBLE) / CAST(3600 AS DOUBLE)) AS v "
+        "FROM trip_costs"),
+    "cost_diff_summary": difference_summary(
+        f"SELECT {P} - cost AS v FROM ({COSTS.format(divisor=3600)})"),
     "cost_summary": f"""
         SELECT (SELECT {product('shift_working_hours', 'hourly_rate_eur')} FROM shifts)
                    AS total_shift_cost,
@@ -839,6 +854,15 @@ QUERIES = {
               FROM bookings GROUP BY 1) b
         LEFT JOIN ({SUPPLY_DAILY}) s ON s.shift_date = b.date
         WHERE b.date + 1 <= (SELECT max(booked_start_at) - INTERVAL 1 HOUR FROM bookings)""",
+    "stream_corrected_days": f"""
+        SELECT b.date, b.n AS total_bookings, b.seconds AS total_booking_duration,
+               b.revenue AS total_revenue, {zero('s.total_shifts')} AS total_shifts,
+               {zero('s.total_hours')} AS total_shift_hours
+        FROM (SELECT CAST(booked_start_at AS DATE) AS date, count(booking_uuid) AS n,
+                     {total('booked_duration')} AS seconds, {total('gross_revenue_eur')} AS revenue
+              FROM bookings GROUP BY 1) b
+        LEFT JOIN ({SUPPLY_DAILY}) s ON s.shift_date = b.date
+        WHERE b.date IS NOT NULL""",
 }
 
 

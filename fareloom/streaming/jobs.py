@@ -96,6 +96,54 @@ def stream_supply_demand(bookings: DataFrame, shifts: DataFrame, out: str,
     )
 
 
+def stream_corrected_days(bookings: DataFrame, shifts: DataFrame, out: str, checkpoint: str,
+                          trigger: dict | None = None) -> StreamingQuery:
+    """Days of demand with the supply of the day, kept right however late bookings come.
+
+    Where ``stream_supply_demand`` drops what comes after a day was closed, this job adds each
+    micro-batch's sums by day to ``{out}-sums`` and writes the days that the batch touches
+    anew, as folders ``date=...`` of ``out``, from all sums of those days. Sums are decimals,
+    so that the result is that of one batch over all bookings. A batch that is run again after a
+    failure writes over its own sums and the same days. Bookings without a time have no day.
+
+    A day is read from as many small files as batches have touched it, and no other day's.
+    """
+    supply = written(supply_daily(shifts).select(
+        F.col("shift_date").alias("date"), "total_shifts",
+        F.col("total_hours").alias("total_shift_hours")), "supply-by-day")
+    days = T.StructType([
+        T.StructField("total_bookings", T.LongType()),
+        T.StructField("seconds", T.DecimalType(28, 6)),
+        T.StructField("revenue", T.DecimalType(28, 6)),
+        T.StructField("batch", T.LongType()), T.StructField("date", T.DateType())])
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark, sums = batch.sparkSession, f"{out}-sums"
+        batch.where("booked_start_at IS NOT NULL").groupBy(
+            F.to_date("booked_start_at").alias("date")).agg(
+            F.count("booking_uuid").alias("total_bookings"),
+            F.sum(dec("booked_duration")).alias("seconds"),
+            F.sum(dec("gross_revenue_eur")).alias("revenue"),
+        ).write.mode("overwrite").partitionBy("date").parquet(f"{sums}/batch={batch_id}")
+        known = spark.read.schema(days).parquet(sums)
+        touched = known.where(F.col("batch") == batch_id).select("date").distinct()
+        merged = known.join(touched, "date", "left_semi").groupBy("date").agg(
+            F.sum("total_bookings").alias("total_bookings"),
+            F.coalesce(F.sum("seconds").cast("double"), F.lit(0.0)).alias("total_booking_duration"),
+            F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("total_revenue"))
+        merged.join(supply, "date", "left").na.fill(
+            0, subset=["total_shifts", "total_shift_hours"]
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "date").parquet(out)
+
+    return (
+        bookings.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType,
                 files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream.
