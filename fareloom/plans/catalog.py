@@ -11,7 +11,7 @@ from fareloom.functions.stats import box_summary, describe, histogram
 from fareloom.operators import (
     auctions as A, balance as B, band, cleaning, context, costs, decision, demand as D, geo,
     profile, seasonality as S, supply as U, utilization as Z)
-from fareloom.session import shared_folder, written
+from fareloom.session import shared_folder, shared_stages, written
 from fareloom.sources.marketplace import Marketplace
 from fareloom.sources.sinks import write_results
 from fareloom.sources.tables import EVENTS, DerivedMarketplace, bookings_of
@@ -271,7 +271,11 @@ def stream_corrected_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _on_tables(analysis: Analysis) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: analysis(DerivedMarketplace(spark, folder))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        with shared_stages():
+            return analysis(DerivedMarketplace(spark, folder))
+
+    return run
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

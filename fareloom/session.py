@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+#: Plans and their tables by the plans' hashes, while a report shares its stages.
+_KNOWN: ContextVar[dict[int, list[tuple[DataFrame, DataFrame]]] | None] = ContextVar(
+    "known", default=None)
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "fareloom", **settings: str) -> SparkSession:
@@ -70,6 +77,29 @@ def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame
     the loss of executors, and its size on disk tells Spark whether it can be broadcast. A
     ``folder`` of the caller's is written over, so that a stream does not pile up tables.
     """
+    known = None if folder else _KNOWN.get()
+    if known is not None:
+        for plan, table in known.setdefault(df.semanticHash(), []):
+            if plan.sameSemantics(df):
+                return table
     path = f"{folder}/{purpose}" if folder else shared_folder(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    if known is not None:
+        known[df.semanticHash()].append((df, table))
+    return table
+
+
+@contextmanager
+def shared_stages() -> Iterator[None]:
+    """Inside it, ``written`` writes a plan once and gives its table to all that ask for the same.
+
+    For a report that needs a stage in several places, as a decision needs features of the past
+    for its model and of what it decides. The tables are those of their first use: what a plan
+    reads must not change meanwhile. Other threads, a stream's among them, do not share.
+    """
+    token = _KNOWN.set({})
+    try:
+        yield
+    finally:
+        _KNOWN.reset(token)
