@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +26,8 @@ CROWD = 32
 SKETCH = 128
 #: Words of 64 bits of a map of a set's differences.
 WORDS = 8
+#: Edges that one task joins to stars, 16 MB of nodes.
+EDGES = 500_000
 #: Bits of the map of sets to confirm, 4 MB.
 MAP_ROWS, ROW_BITS = 1024, 32768
 
@@ -195,14 +198,47 @@ def _confirmed(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of the edges (a, b) the smallest that they link it with, as ``b``."""
+    batches = list(batches)
+    if not batches:
+        return
+    ends = pa.concat_arrays([b.column(c) for c in (0, 1) for b in batches])
+    nodes = ends.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    x, y = pc.index_in(ends, nodes).to_numpy(zero_copy_only=False).reshape(2, -1)
+    root = np.arange(len(nodes), dtype=np.int32)
+    while True:
+        # Each tree is a star here. It is hung under the smallest root that an edge leads to.
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(root))], names=["a", "b"])
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """node and ``root``, the smallest node that it is linked with, for the nodes of ``edges``.
 
-    By alternating stars: each node's larger neighbours, then its smaller ones, are linked with
+    ``edges`` are read from written tables. Each task first replaces about ``EDGES`` of them by
+    stars, one edge a node. If there are no more than that, these are the components. Else alternating stars
+    join those of all tasks: each node's larger neighbours, then its smaller ones, are linked with
     the smallest of them, until nothing changes; the number of rounds grows with the logarithm of
-    the longest path. No node's neighbours are gathered, only their least.
+    the longest path. No node's neighbours are gathered there, only their least.
     """
-    current, before, turn = edges.select("a", "b").distinct(), None, 0
+    tasks = -(-edges.count() // EDGES) or 1
+    stars = written(edges.select("a", "b").coalesce(tasks).mapInArrow(
+        _stars, edges.select("a", "b").schema), f"{purpose}-stars")
+    if tasks == 1:
+        return stars.toDF("node", "root")
+    current, before, turn = stars.distinct(), None, 0
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.where("a <> b")
@@ -284,6 +320,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
         return found.where((a != b) & _alike(left, right, share)).select(
             F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
+    def joined(roots: DataFrame, links: DataFrame, purpose: str) -> DataFrame:
+        return components(roots.toDF("a", "b").unionByName(links), purpose)
+
     candidates = written(pairs(units, "lead", "me").unionByName(
         pairs(units.where("last is not null"), "last", "me")).distinct(), "forest-candidates")
 
@@ -317,15 +356,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5,
             (F.col("x.root") != F.col("y.root")) & _alike("x", "y", share)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         more = far.unionByName(hubs).distinct().join(candidates, ["a", "b"], "left_anti")
-        links = links.unionByName(written(_confirmed(
-            written(more, "forest-candidates-2"), sets, share), "forest-links-2"))
-        roots = components(links, "forest-roots-2")
+        links = written(_confirmed(written(more, "forest-candidates-2"), sets, share),
+                        "forest-links-2")
+        roots = joined(roots, links, "forest-roots-2")
         close = _pairs_near_consensus(near.drop("root").join(roots, "node", "left").withColumn(
             "root", F.coalesce("root", "node")), often, elements, share)
         later = written(_confirmed(written(close.distinct(), "forest-candidates-3"), sets, share),
                         "forest-links-3")
         if not later.isEmpty():
-            roots = components(links.unionByName(later), "forest-roots-3")
+            roots = joined(roots, later, "forest-roots-3")
 
     placed = sketched.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))

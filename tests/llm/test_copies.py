@@ -146,6 +146,33 @@ def test_variants_of_a_text_that_is_missing(make):
     assert sorted(map(tuple, found)) == expected
 
 
+@pytest.mark.parametrize("edges", [7, 100_000])
+def test_components_by_stars_of_tasks(spark, monkeypatch, edges):
+    """Few edges take one table and no rounds; more than a task takes are joined in rounds."""
+    import random
+
+    rng = random.Random(3)
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(9, k) for k in range(10, 40)] + [
+        (rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    pairs = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in pairs if a != b]
+    rng.shuffle(pairs)
+    least = {k: k for p in pairs for k in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    tables, written = [], lsh_forest.written
+    monkeypatch.setattr(lsh_forest, "EDGES", edges, raising=False)
+    monkeypatch.setattr(lsh_forest, "written", lambda df, purpose: tables.append(purpose) or written(
+        df, purpose))
+    node = [(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in pairs]
+    table = written(spark.createDataFrame(node, "a binary, b binary").repartition(9), "edges")
+    found = lsh_forest.components(table).collect()
+    assert sorted((int.from_bytes(r.node, "big"), int.from_bytes(r.root, "big"))
+                  for r in found) == sorted(least.items())
+    assert (len(tables) == 1) == (edges > len(pairs))
+    assert lsh_forest.components(table.where("false")).collect() == []
+
+
 def test_near_copies_without_rows_or_ids(make):
     assert lsh_forest.near_duplicates(make([(1, "a")]).where("false")).collect() == []
     rows = lsh_forest.near_duplicates(make([(None, "a b c d"), (4, "A b c d"), (5, "")]), size=3)
