@@ -237,5 +237,29 @@ def test_family_merges_equal_sizes():
     assert [int(m) for m in marks[:8]] == [1] * 7 + [0]  # the last has the smallest rank
 
 
+def test_texts_are_written_once(make, corpus, monkeypatch):
+    tables, written = {}, suffix_dedup.written
+
+    def noted(df, purpose):
+        tables[purpose] = df.columns
+        return written(df, purpose)
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    found = suffix_dedup.repeated_spans(make(corpus)).collect()
+    assert [(r.doc_id, r.kept_sha256) for r in sorted(found, key=lambda r: r.doc_id)] == [
+        (r[0], r[3]) for r in repeated(corpus)]
+    assert [t for t, columns in tables.items() if "body" in columns] == ["suffix-slices"]
+
+
+def test_steps_of_sorted_numbers():
+    import numpy as np
+
+    numbers = np.sort(np.random.default_rng(5).integers(0, 1 << 48, 60000).astype(np.uint64))
+    data = suffix_dedup._planes(numbers, 6)
+    assert (suffix_dedup._from_planes(data, 6) == numbers).all()
+    as_they_are = numbers.view(np.uint8).reshape(-1, 8)[:, :6].T
+    assert len(data) < 0.95 * len(suffix_dedup._pressed(np.ascontiguousarray(as_they_are)))
+
+
 def test_no_rows_no_spans(make):
     assert suffix_dedup.repeated_spans(make([(1, "a")]).where("false")).collect() == []
